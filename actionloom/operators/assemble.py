@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,17 @@ from actionloom.operators.windows import attach, rolling_stats
 from actionloom.spec import ITEM_ID_COLUMNS, FeatureSpec
 
 
+@dataclass(frozen=True)
+class SideTable:
+    """A per-key vector table: where it is joined and how its columns are named."""
+
+    table: DataFrame
+    key: str
+    vector: str
+    prefix: str
+    keep: int = 0
+
+
 def assemble(rows: DataFrame, items: DataFrame, user_stats: DataFrame, item_stats: DataFrame,
              spec: FeatureSpec) -> DataFrame:
     """Rows with item attributes and the window statistics of their own day."""
@@ -50,16 +62,19 @@ def attach_rolling(rows: DataFrame, history: DataFrame, key_sets: Sequence[Seque
     return rows
 
 
-def attach_side_tables(df: DataFrame, tables: Sequence[tuple[DataFrame, str, str, str, bool]]) -> DataFrame:
-    """Join vector tables given as (table, key, vector column, prefix, keep vector).
+def attach_side_tables(df: DataFrame, tables: Sequence[SideTable]) -> DataFrame:
+    """Join vector tables; each adds the average, maximum and sum of its vector.
 
-    Each contributes its average, maximum and sum, and the vector itself when asked for.
-    Numbers still missing afterwards become 0.
+    A table with ``keep`` set also adds the vector, of that many entries, under its
+    prefix. Numbers still missing afterwards become 0, missing vectors zeros.
     """
-    for table, key, vector, prefix, keep in tables:
-        kept = [F.col(vector).alias(prefix)] if keep else []
-        df = attach(df, table.select(key, *kept, *vector_summary(F.col(vector), prefix)), [key])
-    return df.fillna(0)
+    for t in tables:
+        kept = [F.col(t.vector).alias(t.prefix)] if t.keep else []
+        df = attach(df, t.table.select(t.key, *kept, *vector_summary(F.col(t.vector), t.prefix)), [t.key])
+    zeros = {
+        t.prefix: F.coalesce(F.col(t.prefix), F.array_repeat(F.lit(0.0), t.keep)) for t in tables if t.keep
+    }
+    return df.withColumns(zeros).fillna(0) if zeros else df.fillna(0)
 
 
 def union_scoring(train: DataFrame, scoring: DataFrame) -> DataFrame:

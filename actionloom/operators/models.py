@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.ml import Model
 from pyspark.ml.classification import FMClassifier, GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +27,10 @@ def dense_features(df: DataFrame, columns: Sequence[str], out: str = "features")
     return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="error").transform(df)
 
 
-def mixed_features(df: DataFrame, ids: Sequence[str], dense: Sequence[str], buckets: int = 1 << 18,
-                   out: str = "features") -> DataFrame:
-    """Ids hashed to a fixed number of indicator positions, next to the dense columns.
+def mixed_features(df: DataFrame, ids: Sequence[str], dense: Sequence[str], vectors: Sequence[str] = (),
+                   buckets: int = 1 << 18, out: str = "features") -> DataFrame:
+    """Ids hashed to a fixed number of indicator positions, next to dense columns and
+    array columns.
 
     There is no id dictionary to collect, so the size on the driver does not grow with
     the number of users or items.
@@ -39,9 +40,10 @@ def mixed_features(df: DataFrame, ids: Sequence[str], dense: Sequence[str], buck
     hashed = FeatureHasher(
         inputCols=[f"_id_{c}" for c in ids], outputCol="_hashed", numFeatures=buckets
     ).transform(texts)
-    parts = ["_hashed", *dense]
+    hashed = hashed.withColumns({f"_vector_{c}": array_to_vector(F.col(c)) for c in vectors}) if vectors else hashed
+    parts = ["_hashed", *dense, *[f"_vector_{c}" for c in vectors]]
     assembled = VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="error").transform(hashed)
-    return assembled.drop("_hashed", *[f"_id_{c}" for c in ids])
+    return assembled.drop("_hashed", *[f"_id_{c}" for c in ids], *[f"_vector_{c}" for c in vectors])
 
 
 def _labelled(df: DataFrame, label: str) -> DataFrame:

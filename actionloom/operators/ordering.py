@@ -23,6 +23,8 @@ from actionloom.session import durable
 _SKETCH_GROUPS = 256
 _SKETCH_ACCURACY = 10000
 _SKETCH_GRID = 200
+_BRACKET = 0.01
+_PARTS = 1024
 
 
 def hash_order(id_column: str, seed: int) -> Column:
@@ -140,83 +142,118 @@ def ordered_codes(values: DataFrame, column: str, code: str = "code") -> DataFra
 
 def unpivot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value) with one row per non-null value."""
-    entries = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
-    ])
-    return df.select(F.inline(entries)).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    entries = ", ".join(
+        f"struct('{c}' AS `column`, cast({_quoted(c)} AS double) AS value)" for c in columns
+    )
+    return df.select(F.expr(f"inline(array({entries}))")).filter("value IS NOT NULL AND NOT isnan(value)")
 
 
-def quantile_grid(df: DataFrame, columns: Sequence[str], grid: int = _SKETCH_GRID) -> DataFrame:
-    """(column, cuts): approximate quantiles at evenly spaced shares, in two levels.
+def _bracket_cuts(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float]]:
+    """Per column: sorted cut points a little below and above every share.
 
     Map tasks send their sketches to a few hundred groups, not to one task; the quantiles
     of the groups' quantiles are the cut points.
     """
-    shares = [i / grid for i in range(grid + 1)]
+    sketch = lambda at: F.expr(
+        f"percentile_approx(value, array({', '.join(f'{p!r}D' for p in at)}), {_SKETCH_ACCURACY})"
+    )
+    grid = [i / _SKETCH_GRID for i in range(_SKETCH_GRID + 1)]
+    around = sorted({min(max(p + side * _BRACKET, 0.0), 1.0) for p in shares for side in (-1, 1)})
     grouped = (
         unpivot(df, columns)
         .withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)))
         .groupBy("column", "_group")
-        .agg(F.percentile_approx("value", shares, _SKETCH_ACCURACY).alias("_cuts"))
+        .agg(sketch(grid).alias("_grid"))
     )
-    return (
-        grouped.select("column", F.explode("_cuts").alias("value"))
+    cuts = (
+        grouped.select("column", F.explode("_grid").alias("value"))
         .groupBy("column")
-        .agg(F.percentile_approx("value", shares, _SKETCH_ACCURACY).alias("cuts"))
+        .agg(sketch(around).alias("cuts"))
     )
+    # Two numbers per column and share.
+    return {r["column"]: sorted(set(r["cuts"])) for r in cuts.collect()}
+
+
+def _slice_of(column: str, cuts: Sequence[float]) -> str:
+    """SQL for a number that grows with the value: the interval between two cut points,
+    and an equal-width part of it."""
+    value = f"cast({_quoted(column)} AS double)"
+    cases = [f"WHEN {value} <= {cuts[0]!r}D THEN 0L"]
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:]), start=1):
+        scale = _PARTS / (high - low)
+        cases.append(
+            f"WHEN {value} <= {high!r}D THEN {i * _PARTS}L"
+            f" + least(floor(({value} - {low!r}D) * {scale!r}D), {_PARTS - 1}L)"
+        )
+    return f"CASE {' '.join(cases)} ELSE {len(cuts) * _PARTS}L END"
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
-    """(column, one column per share): linearly interpolated quantiles, exact.
+def exact_quantiles(df: DataFrame, columns: Sequence[str],
+                    shares: Mapping[str, float]) -> dict[str, dict[str, float | None]]:
+    """Per column and named share: the linearly interpolated quantile, exact.
 
-    Two cheap passes over the values: counts per slice between cut points, then only the
-    slices that hold a wanted rank. Equal values are counted together before they are
+    Like any fit it runs at once: one pass for the sketch, one to count rows per slice,
+    one for the slices that hold a wanted rank. No pass shuffles the values, and only the
+    wanted numbers reach the driver. Equal values are counted together before they are
     ordered, so a value that fills a third of the column is one row.
     """
-    # One row of at most a few hundred cut points per column.
-    cuts = F.broadcast(quantile_grid(df, columns))
-    sliced = unpivot(df, columns).join(cuts, "column").select(
-        "column", "value", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("_slice")
+    cuts = _bracket_cuts(df, columns, list(shares.values()))
+    known = [c for c in columns if c in cuts]
+    quantiles: dict[str, dict[str, float | None]] = {c: dict.fromkeys(shares) for c in columns}
+    if not known:
+        return quantiles
+    # One SQL text instead of a few hundred column objects. Columns go by their number.
+    entries = ", ".join(
+        f"struct({i} AS `column`, cast({_quoted(c)} AS double) AS value, {_slice_of(c, cuts[c])} AS _slice)"
+        for i, c in enumerate(known)
     )
-    counts = sliced.groupBy("column", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    sliced = df.select(F.expr(f"inline(array({entries}))")).filter("value IS NOT NULL AND NOT isnan(value)")
     by_column = W.partitionBy("column")
-    placed = counts.withColumn("n", F.sum("_n").over(by_column)).withColumn(
-        "_upto", F.sum("_n").over(by_column.orderBy("_slice"))
+    placed = (
+        sliced.groupBy("column", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("n", F.sum("_n").over(by_column))
+        .withColumn("_upto", F.sum("_n").over(by_column.orderBy("_slice")))
     )
     position = lambda p: (F.col("n") - 1) * F.lit(float(p))
     wanted = F.array(*[
         F.struct(
             F.lit(name).alias("_name"),
-            (edge(position(p)).cast("long") + 1).alias("_rank"),
             (position(p) - F.floor(position(p))).alias("_fraction"),
-            F.lit(label).alias("_edge"),
+            F.lit(edge).alias("_edge"),
+            (rank(position(p)).cast("long") + 1).alias("_rank"),
         )
         for name, p in shares.items()
-        for label, edge in (("low", F.floor), ("high", F.ceil))
+        for edge, rank in (("low", F.floor), ("high", F.ceil))
     ])
     holders = placed.select("column", "_slice", "_n", "_upto", F.inline(wanted)).filter(
         (F.col("_rank") > F.col("_upto") - F.col("_n")) & (F.col("_rank") <= F.col("_upto"))
-    )
-    per_slice = holders.groupBy("column", "_slice").agg(
-        F.collect_list(F.struct(
-            "_name", "_edge", "_fraction",
-            (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_place"),
-        )).alias("_wanted")
-    )
-    # At most two rows per column and share.
-    candidates = sliced.join(F.broadcast(per_slice), ["column", "_slice"])
-    values = candidates.groupBy("column", "_slice", "value").agg(
-        F.count(F.lit(1)).alias("_n"), F.any_value("_wanted").alias("_wanted")
-    )
+    ).withColumn("_place", F.col("_rank") - F.col("_upto") + F.col("_n")).collect()
+
+    in_slice = {(h["column"], h["_slice"]) for h in holders}
+    held = " OR ".join(f"(`column` = {c} AND _slice = {s})" for c, s in sorted(in_slice))
+    values = sliced.filter(held).groupBy("column", "_slice", "value").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(W.partitionBy("column", "_slice").orderBy("value"))
-    hits = values.withColumn("_upto", upto).select(
-        "column", "value", "_n", "_upto", F.inline("_wanted")
-    ).filter((F.col("_place") > F.col("_upto") - F.col("_n")) & (F.col("_place") <= F.col("_upto")))
-    edge = lambda name, label: F.max(
-        F.when((F.col("_name") == name) & (F.col("_edge") == label), F.col("value"))
+    places = {(h["column"], h["_slice"], h["_place"]) for h in holders}
+    hit = " OR ".join(
+        f"(`column` = {c} AND _slice = {s} AND _upto >= {place} AND _upto - _n < {place})"
+        for c, s, place in sorted(places)
     )
-    fraction = lambda name: F.max(F.when(F.col("_name") == name, F.col("_fraction")))
-    return hits.groupBy("column").agg(*[
-        (edge(name, "low") + (edge(name, "high") - edge(name, "low")) * fraction(name)).alias(name)
-        for name in shares
-    ])
+    hits = values.withColumn("_upto", upto).filter(hit).collect()
+
+    def value_at(h) -> float:
+        return next(
+            v["value"] for v in hits
+            if v["column"] == h["column"] and v["_slice"] == h["_slice"]
+            and v["_upto"] - v["_n"] < h["_place"] <= v["_upto"]
+        )
+
+    edges = {(h["column"], h["_name"], h["_edge"]): (value_at(h), h["_fraction"]) for h in holders}
+    for i, c in enumerate(known):
+        for name in shares:
+            (low, fraction), (high, _) = edges[i, name, "low"], edges[i, name, "high"]
+            quantiles[c][name] = low if low == high else low + (high - low) * fraction
+    return quantiles

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from actionloom.functions.signals import watch_signals
 from actionloom.operators.assemble import (
-    attach_rolling, attach_side_tables, feature_columns, split_by_label, split_by_day, split_by_tag,
+    SideTable, attach_rolling, attach_side_tables, feature_columns, split_by_label, split_by_day, split_by_tag,
     stamp_day, tag_union, union_scoring,
 )
 from actionloom.operators.encode import label_encode, robust_scale
@@ -77,21 +77,22 @@ def train_rolling_gbt(table: DataFrame, spec: FeatureSpec, max_iter: int = 100,
 
 
 def side_table_features(inter: DataFrame, scoring: DataFrame, items: DataFrame, spec: FeatureSpec,
-                        side_tables: Sequence[tuple[DataFrame, str, str, str, bool]],
+                        side_tables: Sequence[SideTable],
                         dense: Sequence[str], buckets: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
     """(train, score) with hashed ids, robust-scaled dense columns and vector columns.
 
-    Kept vectors are expected under their prefix and enter unscaled.
+    Kept vectors enter unscaled.
     """
     ids = [spec.user, spec.item, spec.author, "bgm_song_id", "bgm_singer_id", "device"]
     rows = tag_union(inter, stamp_day(scoring, spec))
     rows = attach(rows, items.select(spec.item, spec.duration, *ids[2:5]), [spec.item])
     rows = attach_side_tables(rows, side_tables)
-    summaries = [f"{prefix}_{s}" for _, _, _, prefix, _ in side_tables for s in ("avg", "max", "sum")]
+    summaries = [f"{t.prefix}_{s}" for t in side_tables for s in ("avg", "max", "sum")]
     scaled = [*dense, *summaries]
-    rows = robust_scale(rows.withColumns({c: F.col(c).cast("double") for c in scaled}), scaled)
-    prepared = durable(mixed_features(rows, ids, scaled, buckets))
-    return split_by_tag(prepared)
+    # Stored once: scaling reads it several times, and every fit starts from it.
+    stored = durable(rows.withColumns({c: F.col(c).cast("double") for c in scaled}))
+    vectors = [t.prefix for t in side_tables if t.keep]
+    return split_by_tag(mixed_features(robust_scale(stored, scaled), ids, scaled, vectors, buckets))
 
 
 def train_side_table(train: DataFrame, score: DataFrame, spec: FeatureSpec, fit: Fit = fit_fm, k: int = 0,

@@ -121,7 +121,10 @@ def profile(df: DataFrame, columns: Sequence[str], id_columns: Sequence[str] = (
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
     quartiles = exact_quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    out = moments.join(quartiles, "column")
+    quartile = lambda name: F.coalesce(*[
+        F.when(F.col("column") == c, F.lit(q[name]).cast("double")) for c, q in quartiles.items()
+    ])
+    out = moments.withColumns({name: quartile(name) for name in ("q25", "q50", "q75")})
     if id_columns:
         distinct = vocab_sizes(df, id_columns=id_columns).select("column", "n_distinct")
         out = out.join(distinct, "column", "left")
