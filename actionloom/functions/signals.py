@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,14 @@ def round_half_even(c: Column, decimals: int) -> Column:
     return F.rint(c.cast("double") * scale) / scale
 
 
+def any_action(actions: Sequence[str]) -> Column:
+    """Whether one of the flags is set; a missing flag is not."""
+    acted = F.lit(False)
+    for a in actions:
+        acted = acted | (F.coalesce(F.col(a), F.lit(0)) != 0)
+    return acted
+
+
 def watch_signals(df: DataFrame) -> DataFrame:
     """Duration from seconds to milliseconds, then ``is_finish`` and ``play_times``.
 

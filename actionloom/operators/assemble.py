@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actionloom.functions.signals import any_action
 from actionloom.functions.vectors import vector_summary
 from actionloom.operators.windows import attach, rolling_stats
 from actionloom.spec import ITEM_ID_COLUMNS, FeatureSpec
@@ -110,7 +111,7 @@ def recent(df: DataFrame, min_day: int, spec: FeatureSpec) -> DataFrame:
 
 def engaged(df: DataFrame, actions: Sequence[str]) -> DataFrame:
     """Rows with at least one action."""
-    return df.filter(F.greatest(*[F.coalesce(F.col(a), F.lit(0)) for a in actions]) != 0)
+    return df.filter(any_action(actions))
 
 
 def feature_columns(df: DataFrame, excluded: Sequence[str]) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actionloom.functions.lists import merge_keywords, merge_tags
+from actionloom.functions.signals import any_action
 from actionloom.operators.ordering import ordered_codes
 from actionloom.operators.windows import attach
 from actionloom.spec import TAG_THRESHOLD, FeatureSpec
@@ -29,8 +30,7 @@ def user_token_lists(inter: DataFrame, lists: DataFrame, spec: FeatureSpec) -> D
     reduced to (user, item) pairs before the join, and tokens to distinct ones before
     they are collected, so a list is at most as long as the vocabulary.
     """
-    acted = F.greatest(*[F.coalesce(F.col(a), F.lit(0)) for a in spec.actions]) != 0
-    pairs = inter.groupBy(spec.user, spec.item).agg(F.bool_or(acted).alias("_acted"))
+    pairs = inter.groupBy(spec.user, spec.item).agg(F.bool_or(any_action(spec.actions)).alias("_acted"))
     tokens = lambda c, kind: F.transform(
         F.coalesce(F.col(c), F.array().cast("array<int>")),
         lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("token")),
