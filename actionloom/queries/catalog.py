@@ -21,7 +21,7 @@ from actionloom.plans import training
 from actionloom.plans.feature_build import build_features
 from actionloom.session import durable, shared_dir, tune
 from actionloom.sources import tables as S
-from actionloom.sources.bindings import EVENTS_SPEC, VECTOR_LENGTH, Tables
+from actionloom.sources.bindings import EVENTS_SPEC, ORDERS_SPEC, VECTOR_LENGTH, Tables
 from actionloom.spec import (
     ACTIONS_ALL, ACTIONS_FIRST_STAGE, EARLY_NEGATIVE_RATE, LATE_NEGATIVE_RATE, NEGATIVE_RATE,
     RECENT_FROM_DAY, ROLLING_KEY_SETS,
@@ -565,6 +565,37 @@ def ensemble_mean(t: Tables) -> DataFrame:
     return rounded(models.ensemble_mean([per_pair(F.max), per_pair(F.min), per_pair(F.avg)], keys, a))
 
 
+# --- The order tables as a larger log ----------------------------------------------
+
+@query
+def orders_user_window_stats(t: Tables) -> DataFrame:
+    return rounded(windows.user_window_stats(t.order_log(), ORDERS_SPEC))
+
+
+@query
+def orders_item_window_stats(t: Tables) -> DataFrame:
+    return rounded(windows.item_window_stats(t.order_log(), t.order_items(), ORDERS_SPEC))
+
+
+@query
+def orders_rolling_stats_author(t: Tables) -> DataFrame:
+    return rounded(windows.rolling_stats(t.watched_orders(), ["authorid"], ORDERS_SPEC))
+
+
+@query
+def orders_pair_affinity(t: Tables) -> DataFrame:
+    rows = globals_.pair_affinity(t.order_log().select("userid", "authorid"), "userid", "authorid")
+    return rounded(rows.groupBy("authorid").agg(
+        F.sum("userid_in_authorid_count_prop").alias("user_share"),
+        F.sum("authorid_in_userid_count_prop").alias("author_share"), F.count(F.lit(1)).alias("n"),
+    ))
+
+
+@query
+def orders_user_auc(t: Tables) -> DataFrame:
+    return rounded(evaluate.user_auc(t.order_log(), ["like", "click_avatar"]))
+
+
 # --- Models ------------------------------------------------------------------------
 # Small numbers of trees and iterations: the queries check the jobs, not the scores.
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from actionloom.queries.catalog import (
     FOLDS, NARROWED, NUNIQUE_PAIRS, PROFILED, ROLLING_QUERIES, SCALED, SPEC, TIE_SHIFT,
 )
-from actionloom.sources.bindings import VECTOR_LENGTH, _PREDICTION_SCALE
+from actionloom.sources.bindings import ORDERS_SPEC, PREDICTION_SCALE, VECTOR_LENGTH
 from actionloom.spec import (
     ACTION_WEIGHTS, ACTIONS_ALL, ACTIONS_FIRST_STAGE, EARLY_NEGATIVE_RATE, LATE_NEGATIVE_RATE,
     NEGATIVE_RATE, RECENT_FROM_DAY, SAMPLE_SEED,
@@ -46,7 +46,8 @@ _TRUSTED = (
 )
 
 
-def _window_stats(key: str, other: str, prefix: str, counts: tuple[str, str]) -> str:
+def _window_stats(key: str, other: str, prefix: str, counts: tuple[str, str], log: str = "interactions",
+                  targets: str = "targets") -> str:
     parts = [
         f"count(r.{other}) AS {counts[0]}", f"count(DISTINCT r.{other}) AS {counts[1]}",
         f"avg(r.play) AS {prefix}_play_avg", f"avg(r.stay) AS {prefix}_stay_avg",
@@ -54,12 +55,16 @@ def _window_stats(key: str, other: str, prefix: str, counts: tuple[str, str]) ->
     for a in ACT7:
         parts += [f'cast(sum(r.{_q(a)}) AS bigint) AS {prefix}_{a}_sum', f'avg(r.{_q(a)}) AS {prefix}_{a}_avg']
     return (
-        f"SELECT r.{key}, d.t AS date_, {', '.join(parts)} FROM targets d "
-        f"JOIN interactions r ON r.date_ BETWEEN d.t - {SPEC.n_day} AND d.t - 1 GROUP BY r.{key}, d.t"
+        f"SELECT r.{key}, d.t AS date_, {', '.join(parts)} FROM {_on_target(log, targets)} "
+        f"GROUP BY r.{key}, d.t"
     )
 
 
-def _rolling(keys: Sequence[str], targets: str = "targets") -> str:
+def _on_target(log: str, targets: str) -> str:
+    return f"{targets} d JOIN {log} r ON r.date_ BETWEEN d.t - {SPEC.n_day} AND d.t - 1"
+
+
+def _rolling(keys: Sequence[str], log: str = "watched", targets: str = "targets") -> str:
     p = f"{'_'.join(keys)}_{SPEC.n_day}day"
     parts = [f"count(*) AS {p}_count", f"avg(r.is_finish) AS {p}_finish_rate"]
     for x in ("play_times", "play", "stay"):
@@ -69,8 +74,8 @@ def _rolling(keys: Sequence[str], targets: str = "targets") -> str:
     cols = ", ".join(f"r.{k}" for k in keys)
     known = " AND ".join(f"r.{k} IS NOT NULL" for k in keys)
     return (
-        f"SELECT {cols}, d.t AS date_, {', '.join(parts)} FROM {targets} d "
-        f"JOIN watched r ON r.date_ BETWEEN d.t - {SPEC.n_day} AND d.t - 1 AND {known} GROUP BY {cols}, d.t"
+        f"SELECT {cols}, d.t AS date_, {', '.join(parts)} FROM {_on_target(log, targets)} "
+        f"WHERE {known} GROUP BY {cols}, d.t"
     )
 
 
@@ -89,7 +94,7 @@ def _rolling_outputs(keys: Sequence[str], alias: str = "s") -> str:
 
 
 def _prediction(a: str) -> str:
-    add, mod = _PREDICTION_SCALE[a]
+    add, mod = PREDICTION_SCALE[a]
     return f"cast((event_id * 7919 + {add}) % {mod} AS double) / {mod} AS p_{a}"
 
 
@@ -173,6 +178,22 @@ CTES: dict[str, str] = {
         "SELECT vec_id AS feedid, list_transform(embedding, lambda x: "
         "cast(cast(round(cast(x AS double) * 1000) AS int) AS double)) AS embedding FROM embeddings"
     ),
+    "order_log": (
+        "SELECT o_custkey AS userid, l_partkey AS feedid, l_suppkey AS authorid, "
+        "cast(datediff('day', date '1995-01-01', o_orderdate::date) + 1 AS int) AS date_, "
+        "l_quantity * 1000 AS play, (l_quantity + l_linenumber) * 1000 AS stay, "
+        "cast(l_returnflag = 'R' AS int) AS read_comment, cast(l_returnflag = 'A' AS int) AS \"like\", "
+        "cast(l_linestatus = 'O' AS int) AS click_avatar, cast(l_linenumber = 1 AS int) AS forward, "
+        "cast(l_linenumber = 2 AS int) AS favorite, cast(l_linenumber = 3 AS int) AS comment, "
+        "cast(l_linenumber = 4 AS int) AS follow, l_discount AS p_like, l_tax AS p_click_avatar "
+        "FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+    ),
+    "order_targets": f"SELECT unnest(range({ORDERS_SPEC.first_target}, {ORDERS_SPEC.last_day + 1})) AS t",
+    "watched_orders": (
+        "SELECT t.*, cast(coalesce(t.play >= p_size * 1000, false) AS int) AS is_finish, "
+        "t.play / nullif(cast(p_size AS double) * 1000, 0) AS play_times "
+        "FROM order_log t LEFT JOIN part ON p_partkey = t.feedid"
+    ),
     "slim": "SELECT feedid, authorid, videoplayseconds, bgm_song_id, bgm_singer_id FROM items",
 }
 _NEEDS = {
@@ -182,6 +203,7 @@ _NEEDS = {
     "user_lists": ["train", "user_tag_rows", "user_keyword_rows"], "user_stats": ["interactions", "targets"],
     "item_stats": ["interactions", "targets", "items"], "predictions": ["interactions"],
     "with_items": ["all_rows", "items"], "slim": ["items"],
+    "watched_orders": ["order_log"],
 }
 
 
@@ -682,6 +704,40 @@ def oracle_sql() -> dict[str, str]:
             + " FROM predictions GROUP BY userid, feedid",
         ),
     }
+    order_users = _window_stats(
+        "userid", "feedid", "user", ("user_action_cnt", "user_feed_cnt"), "order_log", "order_targets")
+    order_items = _window_stats(
+        "feedid", "userid", "feed", ("feed_expo_cnt", "feed_user_cnt"), "order_log", "order_targets")
+    out |= {
+        "orders_user_window_stats": _sql(
+            ["order_log", "order_targets"], f"SELECT s.userid, s.date_, {_user_outputs('s')} FROM ({order_users}) s"
+        ),
+        "orders_item_window_stats": _sql(
+            ["order_log", "order_targets"],
+            f"SELECT s.feedid, s.date_, {_item_outputs('s')} FROM (SELECT x.*, "
+            "x.feed_play_avg / 1000 / nullif(p_size, 0) AS feed_play_rate, "
+            "x.feed_stay_avg / 1000 / nullif(p_size, 0) AS feed_stay_rate "
+            f"FROM ({order_items}) x LEFT JOIN part ON p_partkey = x.feedid) s",
+        ),
+        "orders_rolling_stats_author": _sql(
+            ["watched_orders", "order_targets"],
+            f"SELECT s.authorid, s.date_, {_rolling_outputs(['authorid'])} "
+            f"FROM ({_rolling(['authorid'], 'watched_orders', 'order_targets')}) s",
+        ),
+        "orders_pair_affinity": _sql(
+            ["order_log"],
+            "SELECT authorid, "
+            + _r("sum(pair / cast(n_author + 1 AS double))", "user_share") + ", "
+            + _r("sum(pair / cast(n_user + 1 AS double))", "author_share")
+            + ", count(*) AS n FROM (SELECT authorid, count(*) OVER (PARTITION BY userid, authorid) AS pair, "
+            "count(*) OVER (PARTITION BY userid) AS n_user, count(*) OVER (PARTITION BY authorid) AS n_author "
+            "FROM order_log) GROUP BY authorid",
+        ),
+        "orders_user_auc": _sql(
+            ["order_log"], f"SELECT userid, action, n_pos, n_neg, {_r('auc', 'auc')} FROM aucs",
+            _auc_ctes(_long("order_log", ["like", "click_avatar"], '"{a}"', "p_{a}")),
+        ),
+    }
     for name, keys in ROLLING_QUERIES.items():
         cols = ", ".join(f"s.{k}" for k in keys)
         out[name] = _sql(

@@ -17,9 +17,11 @@ from actionloom.spec import ACTIONS_ALL, FeatureSpec
 
 # The event table spans thirty days; the last one is scored, the one before validates.
 EVENTS_SPEC = FeatureSpec(last_day=30)
+# The order tables as a second, larger log: several years of days.
+ORDERS_SPEC = FeatureSpec(last_day=2406)
 VECTOR_LENGTH = 64
 
-_PREDICTION_SCALE = {
+PREDICTION_SCALE = {
     "read_comment": (13, 1000), "like": (26, 1000), "click_avatar": (39, 100), "forward": (52, 10),
     "favorite": (65, 1000), "comment": (78, 100), "follow": (91, 10),
 }
@@ -97,8 +99,8 @@ class Tables:
     def predictions(self, actions: tuple[str, ...] = ACTIONS_ALL) -> DataFrame:
         """The log with one deterministic prediction ``p_{action}`` per action; many ties."""
         score = lambda a: (
-            ((F.col("event_id") * 7919 + _PREDICTION_SCALE[a][0]) % _PREDICTION_SCALE[a][1]).cast("double")
-            / _PREDICTION_SCALE[a][1]
+            ((F.col("event_id") * 7919 + PREDICTION_SCALE[a][0]) % PREDICTION_SCALE[a][1]).cast("double")
+            / PREDICTION_SCALE[a][1]
         )
         return self.interactions().select("*", *[score(a).alias(f"p_{a}") for a in actions])
 
@@ -109,3 +111,31 @@ class Tables:
         return self.predictions(actions).groupBy("userid", "feedid").agg(
             *[F.max(f"p_{a}").alias(a) for a in actions]
         )
+
+    def order_log(self) -> DataFrame:
+        """Order lines as interactions: customers are users, parts items, suppliers authors."""
+        orders = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        lines = self.raw("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        line = lambda n: (F.col("l_linenumber") == n).cast("int")
+        return lines.select(
+            F.col("o_custkey").alias("userid"),
+            F.col("l_partkey").alias("feedid"),
+            F.col("l_suppkey").alias("authorid"),
+            (F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")) + 1).alias("date_"),
+            (F.col("l_quantity") * 1000).alias("play"),
+            ((F.col("l_quantity") + F.col("l_linenumber")) * 1000).alias("stay"),
+            (F.col("l_returnflag") == "R").cast("int").alias("read_comment"),
+            (F.col("l_returnflag") == "A").cast("int").alias("like"),
+            (F.col("l_linestatus") == "O").cast("int").alias("click_avatar"),
+            line(1).alias("forward"), line(2).alias("favorite"), line(3).alias("comment"),
+            line(4).alias("follow"),
+            F.col("l_discount").alias("p_like"), F.col("l_tax").alias("p_click_avatar"),
+        )
+
+    def order_items(self) -> DataFrame:
+        return self.raw("part").select(
+            F.col("p_partkey").alias("feedid"), F.col("p_size").cast("double").alias("videoplayseconds")
+        )
+
+    def watched_orders(self) -> DataFrame:
+        return watch_signals(attach(self.order_log(), self.order_items(), ["feedid"]))
