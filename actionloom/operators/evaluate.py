@@ -29,6 +29,13 @@ def _score_slice(score: str) -> Column:
     return F.floor(F.col(score) * _SLICES_PER_UNIT)
 
 
+def _sliced(counted: DataFrame, by: Sequence[str], score: str, decimals: int | None) -> DataFrame:
+    """Distinct (by, score) rows with a ``_slice`` that grows with the score in a group."""
+    if decimals is None:
+        return range_slices(counted, [*by, score], "_slice")
+    return counted.withColumn("_slice", _score_slice(score))
+
+
 def long_predictions(df: DataFrame, actions: Sequence[str], user: str = "userid",
                      score_prefix: str = "p_", decimals: int | None = SCORE_DECIMALS) -> DataFrame:
     """(user, action, label, score), one row per log row and action."""
@@ -52,10 +59,7 @@ def group_auc(long: DataFrame, by: Sequence[str], decimals: int | None = SCORE_D
         F.sum((F.col("label") == 1).cast("long")).alias("_pos"),
         F.sum((F.col("label") != 1).cast("long")).alias("_neg"),
     )
-    if decimals is None:
-        sliced = range_slices(counted, [*by, "score"], "_slice")
-    else:
-        sliced = counted.withColumn("_slice", _score_slice("score"))
+    sliced = _sliced(counted, by, "score", decimals)
     below = W.partitionBy(*by, "_slice").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
     inside = sliced.withColumn(
         "_won", F.col("_pos") * (F.coalesce(F.sum("_neg").over(below), F.lit(0)) + F.col("_neg") / 2)
@@ -77,12 +81,13 @@ def group_auc(long: DataFrame, by: Sequence[str], decimals: int | None = SCORE_D
     )
 
 
-def average_rank(df: DataFrame, by: Sequence[str], score: str, name: str = "rank") -> DataFrame:
-    """Add the 1-based rank of ``score`` within ``by``; ties share their average rank."""
-    counted = (
-        df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slice", _score_slice(score))
-    )
+def average_rank(df: DataFrame, by: Sequence[str], score: str, name: str = "rank",
+                 decimals: int | None = SCORE_DECIMALS) -> DataFrame:
+    """Add the 1-based rank of ``score`` within ``by``; ties share their average rank.
+
+    ``decimals`` as in :func:`group_auc`: None for scores that are not rounded.
+    """
+    counted = _sliced(df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n")), by, score, decimals)
     slices = counted.groupBy(*by, "_slice").agg(F.sum("_n").alias("_slice_n"))
     lower = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = slices.select(

@@ -1,9 +1,9 @@
 """Sliding day-window statistics: for target day t, the days t-n .. t-1.
 
-One pass serves every target day. Rows are first reduced to (key, day) partials, so the
-fan-out over target days multiplies day partials and not log rows, and every shuffle is
-preceded by a map-side combine: a key that holds a third of the log still arrives as one
-row per map task and day.
+One pass serves every target day. Rows are first reduced to (key, day) partials behind a
+map-side combine: a key that holds a third of the log arrives as one row per map task and
+day. The partials, at most one per key and day, are then moved to their key's partition
+and fanned out there, so the fan-out is never shuffled and no key makes a large partition.
 
 Distinct counts do not add up over days, so they travel as bitmaps of covered target
 days per (key, value) pair: one shuffle of the pairs, whatever the window width.
@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from actionloom.spec import FeatureSpec
@@ -38,10 +37,14 @@ def _target_range(spec: FeatureSpec) -> tuple[Column, Column]:
 def explode_target_days(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Repeat every row once per target day it feeds; ``spec.day`` becomes that day."""
     low, high = _target_range(spec)
-    others = [c for c in df.columns if c != spec.day]
-    return df.filter(_feeds_a_target(spec)).select(
-        *others, F.explode(F.sequence(low, high)).alias(spec.day)
-    )
+    rows = df.filter(_feeds_a_target(spec)).withColumns({"_from": low, "_to": high})
+    return _fan_out(rows, spec)
+
+
+def _fan_out(rows: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """One row per target day ``_from .. _to``."""
+    others = [c for c in rows.columns if c not in (spec.day, "_from", "_to")]
+    return rows.select(*others, F.explode(F.sequence("_from", "_to")).alias(spec.day))
 
 
 def covered_targets(df: DataFrame, keys: Sequence[str], value: str, spec: FeatureSpec) -> DataFrame:
@@ -79,25 +82,23 @@ def _day_partials(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ma
     known = F.lit(True)
     for key in keys:
         known = known & F.col(key).isNotNull()
-    aggregates = [F.count(F.lit(1)).alias("_rows")]
+    # Sums and non-null counts, so that means can be merged.
+    measures = ["count(1) AS _rows"]
     for c in columns:
-        # Flags are summed exactly; the non-null count makes the mean mergeable.
-        aggregates += [F.sum(F.col(c)).alias(f"_s_{c}"), F.count(F.col(c)).alias(f"_n_{c}")]
-    aggregates += [F.max(F.col(c)).alias(f"_m_{c}") for c in maxima]
-    return df.filter(_feeds_a_target(spec) & known).groupBy(*keys, spec.day).agg(*aggregates)
+        measures += [f"sum(`{c}`) AS `_s_{c}`", f"count(`{c}`) AS `_n_{c}`"]
+    measures += [f"max(`{c}`) AS `_m_{c}`" for c in maxima]
+    return df.filter(_feeds_a_target(spec) & known).groupBy(*keys, spec.day).agg(*map(F.expr, measures))
+
 
+# Measures are SQL text, with an optional window: a wide list of them is built in one go.
 
-def _sum(c: str, over=None) -> Column:
+def _sum(c: str, over: str = "") -> str:
     """A sum that is 0, not null, for a window without values."""
-    total = F.sum(f"_s_{c}")
-    return F.coalesce(total.over(over) if over is not None else total, F.lit(0))
+    return f"cast(coalesce(sum(`_s_{c}`){over}, 0) AS bigint)"
 
 
-def _mean(c: str, over=None) -> Column:
-    total, n = F.sum(f"_s_{c}"), F.sum(f"_n_{c}")
-    if over is not None:
-        total, n = total.over(over), n.over(over)
-    return F.try_divide(total.cast("double"), n)
+def _mean(c: str, over: str = "") -> str:
+    return f"try_divide(cast(sum(`_s_{c}`){over} AS double), sum(`_n_{c}`){over})"
 
 
 def _entity_window_stats(df: DataFrame, key: str, other: str, prefix: str, counts: tuple[str, str],
@@ -105,22 +106,27 @@ def _entity_window_stats(df: DataFrame, key: str, other: str, prefix: str, count
     measured = ["play", "stay", *spec.actions]
     present = F.col(other).isNotNull().cast("long")
     rows = df.select(key, other, spec.day, *measured, present.alias("_present"))
-    sums = explode_target_days(_day_partials(rows, [key], [*measured, "_present"], [], spec), spec)
+    low, high = _target_range(spec)
+    sums = _day_partials(rows, [key], [*measured, "_present"], [], spec).withColumns(
+        {"_from": low, "_to": high}
+    )
     distinct = (
         covered_targets(rows.filter(F.col(key).isNotNull()), [key], other, spec)
         .groupBy(key, spec.day)
         .agg(F.count(F.lit(1)).alias("_distinct"))
+        .withColumns({"_from": F.col(spec.day), "_to": F.col(spec.day)})
     )
-    # Both sides are reduced to target days; adding them up needs one exchange, no join.
-    both = sums.unionByName(distinct, allowMissingColumns=True)
-    return both.groupBy(key, spec.day).agg(
-        _sum("_present").cast("long").alias(counts[0]),
-        F.coalesce(F.sum("_distinct"), F.lit(0)).cast("long").alias(counts[1]),
-        _mean("play").alias(f"{prefix}_play_avg"),
-        _mean("stay").alias(f"{prefix}_stay_avg"),
-        *[_sum(a).cast("long").alias(f"{prefix}_{a}_sum") for a in spec.actions],
-        *[_mean(a).alias(f"{prefix}_{a}_avg") for a in spec.actions],
-    )
+    # Both are down to one row per key and day: stacked, moved to their key, fanned out.
+    both = sums.unionByName(distinct, allowMissingColumns=True).repartition(key)
+    measures = [
+        f"{_sum('_present')} AS {counts[0]}",
+        f"coalesce(sum(_distinct), 0) AS {counts[1]}",
+        f"{_mean('play')} AS {prefix}_play_avg",
+        f"{_mean('stay')} AS {prefix}_stay_avg",
+        *[f"{_sum(a)} AS `{prefix}_{a}_sum`" for a in spec.actions],
+        *[f"{_mean(a)} AS `{prefix}_{a}_avg`" for a in spec.actions],
+    ]
+    return _fan_out(both, spec).groupBy(key, spec.day).agg(*map(F.expr, measures))
 
 
 def user_window_stats(inter: DataFrame, spec: FeatureSpec) -> DataFrame:
@@ -161,15 +167,13 @@ def rolling_columns(keys: Sequence[str], spec: FeatureSpec) -> list[str]:
     )
 
 
-def _rolling_measures(keys: Sequence[str], spec: FeatureSpec, over=None) -> list[Column]:
+def _rolling_measures(keys: Sequence[str], spec: FeatureSpec, over: str = "") -> list[str]:
     p = rolling_prefix(keys, spec)
-    at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
-    out = [at(F.sum("_rows")).cast("long").alias(f"{p}_count"),
-           _mean("is_finish", over).alias(f"{p}_finish_rate")]
+    out = [f"sum(_rows){over} AS {p}_count", f"{_mean('is_finish', over)} AS {p}_finish_rate"]
     for x in _WATCHED:
-        out += [at(F.max(f"_m_{x}")).alias(f"{p}_{x}_max"), _mean(x, over).alias(f"{p}_{x}_mean")]
+        out += [f"max(_m_{x}){over} AS {p}_{x}_max", f"{_mean(x, over)} AS {p}_{x}_mean"]
     for a in spec.rolling_actions:
-        out += [_sum(a, over).cast("long").alias(f"{p}_{a}_sum"), _mean(a, over).alias(f"{p}_{a}_mean")]
+        out += [f"{_sum(a, over)} AS `{p}_{a}_sum`", f"{_mean(a, over)} AS `{p}_{a}_mean`"]
     return out
 
 
@@ -179,8 +183,9 @@ def _rolling_partials(df: DataFrame, keys: Sequence[str], spec: FeatureSpec) ->
 
 def rolling_stats(df: DataFrame, keys: Sequence[str], spec: FeatureSpec) -> DataFrame:
     """16 measures per (keys, target day) over watch signals and actions."""
-    fanned = explode_target_days(_rolling_partials(df, keys, spec), spec)
-    return fanned.groupBy(*keys, spec.day).agg(*_rolling_measures(keys, spec))
+    partials = _rolling_partials(df, keys, spec).repartition(*keys)
+    fanned = explode_target_days(partials, spec)
+    return fanned.groupBy(*keys, spec.day).agg(*map(F.expr, _rolling_measures(keys, spec)))
 
 
 def rolling_stats_rangeframe(df: DataFrame, keys: Sequence[str], spec: FeatureSpec) -> DataFrame:
@@ -189,14 +194,17 @@ def rolling_stats_rangeframe(df: DataFrame, keys: Sequence[str], spec: FeatureSp
     Enough to look features up for log rows. The frame runs over day partials, at most
     one row per key and day, so no key makes a large window group.
     """
-    frame = W.partitionBy(*keys).orderBy(spec.day).rangeBetween(-spec.n_day, -1)
+    frame = (
+        f" OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{spec.day}`"
+        f" RANGE BETWEEN {spec.n_day} PRECEDING AND 1 PRECEDING)"
+    )
     known = F.lit(True)
     for key in keys:
         known = known & F.col(key).isNotNull()
     last_rows = df.filter((F.col(spec.day) == spec.last_day) & known).select(*keys, spec.day).distinct()
     days = _rolling_partials(df, keys, spec).unionByName(last_rows, allowMissingColumns=True)
     return (
-        days.select(*keys, spec.day, *_rolling_measures(keys, spec, frame))
+        days.selectExpr(*keys, spec.day, *_rolling_measures(keys, spec, frame))
         .filter(F.col(f"{rolling_prefix(keys, spec)}_count").isNotNull()
                 & (F.col(spec.day) >= spec.first_target))
     )

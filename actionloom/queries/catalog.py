@@ -60,8 +60,8 @@ def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
     summation would decide; the shift moves them all to the same side. Adding zero turns
     a negative zero into a plain one.
     """
-    return df.select(*[
-        (F.round(F.col(c) + TIE_SHIFT, decimals) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
+    return df.selectExpr(*[
+        f"round(`{c}` + {TIE_SHIFT!r}D, {decimals}) + 0D AS `{c}`" if t == "double" else f"`{c}`"
         for c, t in df.dtypes
     ])
 

@@ -30,6 +30,14 @@ def test_ties_share_their_rank(spark):
     assert ranks == [1.5, 1.5, 3.0]
 
 
+@pytest.mark.parametrize("decimals", [6, None])
+def test_ranks_of_unevenly_spread_scores(spark, decimals):
+    scores = [-3.5, 0.000001, 0.000001, 0.000002, 0.5, 12.25]
+    df = frame(spark, [(u, 1, s) for u in (1, 2) for s in scores]).repartition(3)
+    got = evaluate.average_rank(df, ["userid"], "p_like", decimals=decimals).orderBy("userid", "p_like")
+    assert [r["rank"] for r in got.collect()] == [1.0, 2.5, 2.5, 4.0, 5.0, 6.0] * 2
+
+
 def test_users_of_one_class_are_left_out(spark):
     rows = [(1, 1, 0.1), (1, 1, 0.2), (2, 0, 0.3), (2, 0, 0.1), (3, 0, 0.9), (3, 1, 0.1)]
     row = evaluate.uauc(frame(spark, rows), ["like"]).first()
