@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from actionloom.session import durable
+from actionloom.session import stored
 
 _SKETCH_GROUPS = 256
 _SKETCH_ACCURACY = 10000
@@ -121,7 +121,7 @@ def range_slices(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     The result is written to the checkpoint folder, since the numbers have to be the same
     wherever they are used.
     """
-    return durable(df.repartitionByRange(*columns).withColumn(name, F.spark_partition_id()))
+    return stored(df.repartitionByRange(*columns).withColumn(name, F.spark_partition_id()))
 
 
 def ordered_codes(values: DataFrame, column: str, code: str = "code") -> DataFrame:

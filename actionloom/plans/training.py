@@ -22,7 +22,7 @@ from actionloom.operators.models import (
 )
 from actionloom.operators.sampling import assign_folds
 from actionloom.operators.windows import attach
-from actionloom.session import durable
+from actionloom.session import stored
 from actionloom.spec import ACTIONS_FIRST_STAGE, ROLLING_KEY_SETS, FeatureSpec
 
 _WATCH = ("is_finish", "play_times", "play", "stay")
@@ -60,7 +60,7 @@ def train_rolling_gbt(table: DataFrame, spec: FeatureSpec, max_iter: int = 100,
     with as many trees, applied to the rows without a label."""
     excluded = [spec.day, *_WATCH, *spec.actions, *extra_excluded]
     columns = feature_columns(table, excluded)
-    prepared = durable(dense_features(table.fillna(0, subset=columns), columns).select(
+    prepared = stored(dense_features(table.fillna(0, subset=columns), columns).select(
         spec.user, spec.item, spec.day, *actions, "features"
     ))
     train, score = split_by_label(prepared, actions[0])
@@ -90,7 +90,7 @@ def side_table_features(inter: DataFrame, scoring: DataFrame, items: DataFrame,
     summaries = [f"{t.prefix}_{s}" for t in side_tables for s in ("avg", "max", "sum")]
     scaled = [*dense, *summaries]
     # Stored once: scaling reads it several times, and every fit starts from it.
-    stored = durable(rows.withColumns({c: F.col(c).cast("double") for c in scaled}))
+    stored = stored(rows.withColumns({c: F.col(c).cast("double") for c in scaled}))
     vectors = [t.prefix for t in side_tables if t.keep]
     return split_by_tag(mixed_features(robust_scale(stored, scaled), ids, scaled, vectors, buckets))
 
@@ -118,7 +118,7 @@ def train_staged_gbt(inter: DataFrame, scoring: DataFrame, items: DataFrame, spe
     for c in ids:
         rows = label_encode(rows, c, "string", f"_code_{c}")
     columns = [*[f"_code_{c}" for c in ids], spec.duration]
-    prepared = durable(dense_features(rows.fillna(0, subset=columns), columns))
+    prepared = stored(dense_features(rows.fillna(0, subset=columns), columns))
     train, score = split_by_tag(prepared)
     fit = lambda df, label: fit_gbt_weighted(df, label, max_iter, **params)
     keys = [spec.user, spec.item]

@@ -19,7 +19,7 @@ from actionloom.operators import assemble as A
 from actionloom.operators import encode, evaluate, globals_, models, reduce, sampling, tokens, windows
 from actionloom.plans import training
 from actionloom.plans.feature_build import build_features
-from actionloom.session import durable, shared_dir, tune
+from actionloom.session import shared_dir, stored, tune
 from actionloom.sources import tables as S
 from actionloom.sources.bindings import EVENTS_SPEC, ORDERS_SPEC, VECTOR_LENGTH, Tables
 from actionloom.spec import (
@@ -389,7 +389,7 @@ def embedding_pca(t: Tables) -> DataFrame:
 @query
 def tags_pca_ratio(t: Tables) -> DataFrame:
     vectors = tokens.multihot_vectors(_user_lists(t), "userid", "user_tag_list", "tags")
-    reduced, explained = reduce.pca_ratio(durable(vectors), "tags", 0.9)
+    reduced, explained = reduce.pca_ratio(stored(vectors), "tags", 0.9)
     return reduce.wide(reduced.drop("tags"), "reduced", "tags", len(explained))
 
 
@@ -630,7 +630,7 @@ def _dense_table(t: Tables) -> tuple[DataFrame, DataFrame, list[str]]:
     keep = [*_ROW, "features"]
     train = models.dense_features(built.training, columns).select(*keep, *ACTIONS_FIRST_STAGE)
     score = models.dense_features(built.scoring, columns).select(*keep)
-    return durable(train), durable(score), columns
+    return stored(train), stored(score), columns
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,26 +42,41 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
     On a cluster it is whatever ``spark.checkpoint.dir`` names. Only a local session
-    without that setting gets a folder of its own.
+    without that setting gets a folder of its own, below the warehouse.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-        return configured
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="actionloom-"))
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there.
-
-    Used where a later step must see exactly the same rows and partitions again, or
-    where an iterative fit would otherwise recompute the whole feature build when an
-    executor is lost.
+    if not configured:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        configured = f"{warehouse}/_work-{context.applicationId}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
+    return configured
+
+
+def stored(df: DataFrame, *partitioned_by: str) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back.
+
+    Used where a later step must see exactly the same rows again, where several steps
+    read the same intermediate rows, or where an iterative fit would otherwise recompute
+    everything when an executor is lost. This runs a job at once. ``discard`` removes it.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partitioned_by) if partitioned_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind frames made by ``stored``; they can't be read afterwards."""
+    for df in frames:
+        spark = df.sparkSession
+        jvm, own = spark.sparkContext._jvm, shared_dir(spark)
+        for folder in {f.rsplit("/table-", 1)[0] + "/table-" + f.rsplit("/table-", 1)[1].split("/")[0]
+                       for f in df.inputFiles() if "/table-" in f}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if own.split(":", 1)[-1].lstrip("/") in folder:
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
