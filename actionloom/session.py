@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,12 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings the operators count on to a running session."""
     for key, value in _SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    # Python workers on this machine find the package wherever the session was started;
+    # on a cluster it comes with --py-files.
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    paths = environment.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        environment["PYTHONPATH"] = ":".join(filter(None, [*paths, root]))
     return spark
 
 
