@@ -1,0 +1,70 @@
+"""Token ids of whole texts, with every distinct chunk between spaces encoded once.
+
+A byte-level tokenizer splits a text by a pattern first and merges inside the pieces. A
+cut before a space that follows a visible character is always such a split, so ids can be
+kept per chunk. Texts in which a run of white space crosses a cut, or in which a special
+token is spelled out, are given to the tokenizer whole.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+from array import array
+
+#: Chunks kept at most; then the table starts anew. Bounds a worker's memory.
+MAX_CHUNKS = 300_000
+_CROSSING = re.compile(r"\s (?:\s|\Z)")
+
+
+class ChunkEncoder:
+    """Little-endian unsigned 32-bit ids of texts, as the tokenizer at ``path`` gives them."""
+
+    def __init__(self, path: str, max_chunks: int = MAX_CHUNKS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.max_chunks = max_chunks
+        self.inner: dict[str, bytes] = {}  # by the chunk after a space
+        self.first: dict[str, bytes] = {}  # by the chunk that starts a text
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
+
+    def _add(self, kept: dict[str, bytes], chunks: list[str], prefix: str) -> None:
+        for i in range(0, len(chunks), 4096):
+            some = chunks[i:i + 4096]
+            kept.update(zip(some, self._ids([prefix + c for c in some])))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [bool(_CROSSING.search(t)) or any(s in t for s in self.special) for t in texts]
+        parts = [None if w else t.split(" ") for t, w in zip(texts, whole)]
+        missing, missing_first = set(), set()
+        for p in parts:
+            if p:
+                missing.update(set(p[1:]).difference(self.inner))
+                if p[0] not in self.first:
+                    missing_first.add(p[0])
+        if len(self.inner) + len(self.first) > self.max_chunks:
+            self.inner, self.first = {}, {}
+            return self.encode(texts)
+        self._add(self.inner, list(missing), " ")
+        self._add(self.first, list(missing_first), "")
+        get = self.inner.__getitem__
+        return [self._ids([t])[0] if p is None else self.first[p[0]] + b"".join(map(get, p[1:]))
+                for t, p in zip(texts, parts)]
+
+
+_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
+
+
+def encoder(path: str, max_chunks: int = MAX_CHUNKS) -> ChunkEncoder:
+    """One encoder per worker process, kept between tasks."""
+    if (path, max_chunks) not in _ENCODERS:
+        _ENCODERS[path, max_chunks] = ChunkEncoder(path, max_chunks)
+    return _ENCODERS[path, max_chunks]

@@ -85,8 +85,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(_bit_is_set(), F.sha2(F.col("_norm").cast("binary"), 256)).alias("_full")))
     order = F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("n"),
                      F.col("_id").alias("i"), F.col("_row").alias("r"))
-    groups = hashed.filter(F.col("_full").isNotNull()).groupBy("_full").agg(
-        F.min(order).alias("_best"), F.count(F.lit(1)).alias("_size"))
+    # Written first, so that both sides of the join are plain exchanges and a hot group is split.
+    groups = stored(hashed.filter(F.col("_full").isNotNull()).groupBy("_full").agg(
+        F.min(order).alias("_best"), F.count(F.lit(1)).alias("_size")))
     shared = hashed.join(groups, "_full").select(
         F.col("_id").alias(id_col), "_row", F.col("_best.i").alias("keep_id"),
         F.col("_size").alias("group_size"), (F.col("_row") == F.col("_best.r")).alias("kept"), *carry)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actionloom.llm import exact_dedup
+from actionloom.llm import exact_dedup, packing, simhash
 from actionloom.llm.common import read_table
 from actionloom.session import tune
 
@@ -25,6 +25,13 @@ def query(twin: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -46,3 +53,14 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("text_sha256", exact_dedup.digest())
     return exact_dedup.duplicate_groups(docs, carry=["text_sha256"]).drop("_row")
+
+
+@query()
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
+
+
+@query()
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
