@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from actionloom.llm.chunk_cache import encoder
+from actionloom.llm.byte_bpe import encoder
 from actionloom.llm.common import slices, text_or_empty
 from actionloom.session import stored
 
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             for part in slices(batch):
                 names, rows = part.column(0), []
-                for row, ids in enumerate(encode(part.column(1).to_pylist())):
+                for row, ids in enumerate(map(encode, part.column(1).to_pylist())):
                     ids += end
                     for piece, (a, b) in enumerate(piece_bounds(len(ids) // 4, capacity)):
                         rows.append((row, piece, a, b - a, zlib.crc32(ids[4 * a:4 * b]), task, seen[b - a]))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actionloom.llm import exact_dedup, packing, simhash
-from actionloom.llm.common import read_table
+from actionloom.llm import exact_dedup, interpolated_lm, language, packing, simhash, toxicity, trie_bpe
+from actionloom.llm.common import held_out, read_table
 from actionloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,32 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 5, 0))
+    model = language.fit(docs.filter(~F.col("held_out")))
+    return language.predict(docs, model, carry=("held_out",))
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 5, 0))
+    model = toxicity.fit(docs.filter(~F.col("held_out")), read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, carry=("held_out",))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query()
+def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = trie_bpe.encode(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query()
+def op9_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 7, 2))
+    return interpolated_lm.score(docs)
