@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actionloom.llm.codepoints import cut, points, tables
@@ -279,5 +279,16 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         run, f"{schema}, lang_pred string, score double")
 
 
-def accepted(least_score: float) -> Column:
-    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)
+def keep_identified(docs: DataFrame, model: Model | None, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a language of at least ``least_score``, with their own columns."""
+    if model is None:
+        return docs.limit(0)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                logits, known = _scores(part.column(at).to_pylist(), shared.value)
+                yield part.filter(pa.array(known & (_softmax(logits).max(axis=1) >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)

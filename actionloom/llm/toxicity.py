@@ -30,10 +30,12 @@ from actionloom.llm.codepoints import cut, points, tables
 from actionloom.llm.common import slices, text_or_empty
 from actionloom.llm.hashing import hash_runs
 
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 1200
 THRESHOLD = 0.5
 #: Characters after which a sentence ends.
 SENTENCE_ENDS = ".!?\n"
+#: Besides whole words, their first so many letters are features.
+BEGINNINGS = (3, 4, 5, 6, 7)
 _START_BIAS = -5.0
 
 
@@ -42,8 +44,10 @@ class Settings:
     sample_per_class: int = SAMPLE_PER_CLASS
     iterations: int = 300
     rate: float = 0.5
-    #: Weight of the l1 penalty in documents: what fewer documents than this support is dropped.
-    l1_documents: float = 2.0
+    #: Words of fewer sampled documents are not used: they say more about a document than a label.
+    least_documents: int = 3
+    #: Weight of the l1 penalty, in toxic documents.
+    l1_documents: float = 0.3
     seed: int = 42
 
 
@@ -79,16 +83,24 @@ def read_words(texts: list[str | None]) -> Words:
     if not len(first):
         none = np.empty(0, np.int64)
         return Words(np.empty(0, np.uint64), none, none, none, none)
-    hashes = hash_runs(lower[stream[in_word]], last - first)
+    letters, lengths = lower[stream], last - first
+    # The whole word, and its beginnings, which compounds and inflected forms share.
+    hashes, word_of = [hash_runs(letters[in_word], lengths)], [np.arange(len(first))]
+    for n in BEGINNINGS:
+        longer = np.flatnonzero(lengths > n)
+        taken = letters[(first[longer][:, None] + np.arange(n)).reshape(-1)]
+        hashes.append(hash_runs(taken, np.full(len(longer), n)) ^ np.uint64(n))
+        word_of.append(longer)
     breaks = np.flatnonzero(np.isin(stream, np.array([ord(c) for c in SENTENCE_ENDS], np.uint32)))
     cell = np.searchsorted(breaks, first)  # the break that ends the word's sentence
     kept, sentences = np.unique(cell, return_inverse=True)
+    sentences = sentences[np.concatenate(word_of)]
     starts = np.where(kept > 0, breaks[kept - 1] + 1, 0)
     marks = np.cumsum([0, *[len(p) + 1 for _, _, p in found]])
     piece = np.searchsorted(marks, starts, side="right") - 1
     shift = np.array([o for _, o, _ in found]) - marks[:-1]
     owner = np.array([i for i, _, _ in found])[piece]
-    return Words(hashes, sentences, owner, starts + shift[piece], breaks[kept] + shift[piece])
+    return Words(np.concatenate(hashes), sentences, owner, starts + shift[piece], breaks[kept] + shift[piece])
 
 
 def _sentence_logits(words: Words, model: Model) -> np.ndarray:
@@ -106,11 +118,12 @@ def _all_clean(z: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
-            settings: Settings) -> pa.Table:
-    """(label, text words): at most ``sample_per_class`` documents per label, by hash of the id."""
+            settings: Settings) -> tuple[pa.Table, dict[int, int]]:
+    """((label, hashes, sentences) of at most ``sample_per_class`` documents per label, all labels' totals)."""
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_llm_id")).agg(
-        F.max(F.col(label_col).cast("int")).alias("_label"))
+        F.max((F.col(label_col) > 0).cast("int")).alias("_label"))
     present = known.join(docs.select(F.col(id_col).alias("_llm_id")).distinct(), "_llm_id", "left_semi")
+    totals = {r[0]: r[1] for r in present.groupBy("_label").count().collect()}
     order = F.xxhash64("_llm_id", F.lit(settings.seed))
     # Two heads of a sort: each task sends at most the bound.
     few = [present.filter(F.col("_label") == y).orderBy(order, "_llm_id").limit(settings.sample_per_class)
@@ -125,28 +138,40 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
                 rows = []
                 for t in part.column(0):
                     w = read_words([t.as_py()])
-                    pairs = np.unique(np.stack([w.sentences.astype(np.uint64), w.hashes]), axis=1)
-                    rows.append(pairs.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(rows, pa.binary())], names=["label", "words"])
+                    rows.append((w.hashes.tobytes(), w.sentences.astype("<u4").tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), *[pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)]],
+                    names=["label", "hashes", "sentences"])
+
+    return texts.select("_text", "_label").mapInArrow(
+        run, "label int, hashes binary, sentences binary").toArrow(), totals
 
-    return texts.select("_text", "_label").mapInArrow(run, "label int, words binary").toArrow()
 
+def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings = Settings(),
+             totals: dict[int, int] | None = None) -> Model:
+    """The model of (label, word hashes, sentence numbers) per document.
 
-def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings = Settings()) -> Model:
-    """The model of (label, word hashes, sentence numbers) per document."""
+    ``totals`` says how many documents of each label the bags stand for.
+    """
     y = np.array([b[0] for b in bags], float)
     if not len(y) or y.min() == y.max():
         return Model(np.empty(0, np.uint64), np.empty(0), 0.0, float(y.mean()) if len(y) else 0.0)
     vocabulary, feature = np.unique(np.concatenate([b[1] for b in bags]), return_inverse=True)
+    document = np.repeat(np.arange(len(bags)), [len(b[1]) for b in bags])
+    pairs = np.unique(feature * len(bags) + document) // len(bags)
+    common = np.bincount(pairs, minlength=len(vocabulary)) >= settings.least_documents
     counts = [len(np.unique(b[2])) for b in bags]
     offsets = np.cumsum([0, *counts])
     sentence = np.concatenate([np.unique(b[2], return_inverse=True)[1] + o for b, o in zip(bags, offsets)])
     owner = np.repeat(np.arange(len(bags)), counts)
+    used = common[feature]
+    vocabulary, feature, sentence = vocabulary[common], (np.cumsum(common) - 1)[feature[used]], sentence[used]
     w, bias = np.zeros(len(vocabulary)), _START_BIAS
     scale, bias_scale = np.full(len(w), 1e-12), 1e-12
-    l1 = settings.l1_documents / len(y)
-    # Both labels carry half of the loss, whatever their share.
-    importance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    sizes = {1: int(y.sum()), 0: int(len(y) - y.sum())}
+    shares = {k: (totals or sizes)[k] for k in sizes}
+    importance = np.where(y == 1, shares[1] / sizes[1], shares[0] / sizes[0]) / sum(shares.values())
+    l1 = settings.l1_documents * shares[1] / sizes[1] / sum(shares.values())
     for _ in range(settings.iterations):
         z = bias + np.bincount(sentence, weights=w[feature], minlength=len(owner))
         clean = _all_clean(z, owner, len(y))
@@ -158,7 +183,7 @@ def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings
         scale += g * g
         step = settings.rate / np.sqrt(scale)
         w = w - step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1 * 0.5, 0.0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0.0)
         bias_g = slope.sum()
         bias_scale += bias_g * bias_g
         bias -= settings.rate / np.sqrt(bias_scale) * bias_g
@@ -169,13 +194,33 @@ def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", settings: Settings = Settings()) -> Model:
     """The model of the documents in ``docs`` that ``labels`` covers."""
-    table = _sample(docs, labels, id_col, text_col, label_col, settings)
-    bags = []
-    for label, packed in zip(table.column(0).to_pylist(), table.column(1).to_pylist()):
-        sentences, hashes = np.frombuffer(packed, np.uint64).reshape(2, -1)
-        bags.append((int(label > 0), hashes, sentences.astype(np.int64)))
+    table, totals = _sample(docs, labels, id_col, text_col, label_col, settings)
+    bags = [(label, np.frombuffer(hashes, np.uint64), np.frombuffer(sentences, "<u4").astype(np.int64))
+            for label, hashes, sentences in zip(*[table.column(i).to_pylist() for i in range(3)])]
     bags.sort(key=lambda b: (b[0], len(b[1]), b[1].tobytes()))
-    return fit_bags(bags, settings)
+    return fit_bags(bags, settings, totals)
+
+
+def _scores(texts: list[str | None], model: Model) -> tuple[np.ndarray, Words, np.ndarray]:
+    """(score per text, its words, the logit of each sentence)."""
+    words = read_words(texts)
+    z = _sentence_logits(words, model)
+    if model.constant is not None:
+        return np.full(len(texts), model.constant), words, z
+    return -np.expm1(_all_clean(z, words.owner, len(texts))) + 0.0, words, z
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, with their own columns."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                p, _, _ = _scores(part.column(at).to_pylist(), shared.value)
+                yield part.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
@@ -189,15 +234,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             for part in slices(batch):
                 texts = part.column(len(columns)).to_pylist()
-                words = read_words(texts)
-                z = _sentence_logits(words, m)
-                p = -np.expm1(_all_clean(z, words.owner, len(texts)))
-                if m.constant is not None:
-                    p = np.full(len(texts), m.constant)
+                p, words, z = _scores(texts, shared.value)
                 order = np.lexsort((-words.starts, z, words.owner))
                 worst = np.full(len(texts), -1)
                 worst[words.owner[order]] = order  # the last one of each text stays
@@ -206,7 +246,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 span = [pa.array(np.where(none, 0, x[at] if len(x) else 0), pa.int64(), mask=none)
                         for x in (words.starts, words.ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in range(len(columns))], pa.array(p + 0.0),
+                    [*[part.column(i) for i in range(len(columns))], pa.array(p),
                      pa.array(np.bincount(words.owner, minlength=len(texts)), pa.int64()),
                      pa.array(np.bincount(words.owner[z >= 0], minlength=len(texts)), pa.int64()), *span],
                     names=[*columns, "score", "sentences", "offending", "worst_start", "worst_end"])
