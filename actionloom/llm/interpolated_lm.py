@@ -46,13 +46,17 @@ _LOWER[65:91] += 32
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers, all first bytes, then all second bytes, and so on."""
-    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Unsigned numbers, all lowest bytes, then all second bytes, as far as the largest needs."""
+    numbers = numbers.astype("<u8")
+    planes = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    numbers = np.zeros((planes.shape[1], 8), np.uint8)
+    numbers[:, :data[0]] = planes.T
+    return numbers.view("<u8").reshape(-1)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actionloom.llm import exact_dedup, interpolated_lm, language, packing, simhash, toxicity, trie_bpe
+from actionloom.llm import (
+    cross_polytope, exact_dedup, interpolated_lm, language, packing, simhash, toxicity, trie_bpe,
+)
 from actionloom.llm.common import held_out, read_table
 from actionloom.session import tune
 
@@ -93,3 +95,9 @@ def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 7, 2))
     return interpolated_lm.score(docs)
+
+
+@query()
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return cross_polytope.neighbours(vectors, F.col("vec_id") % 50 == 0)

@@ -178,7 +178,7 @@ def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings
         toxic = -np.expm1(clean)
         # Noisy-or: blame of a sentence is its chance, times how surprising a toxic label is.
         blame = np.where(y == 1, -np.exp(clean) / np.maximum(toxic, 1e-12), 1.0) * importance
-        slope = blame[owner] / (1.0 + np.exp(-z))
+        slope = blame[owner] * np.exp(-np.logaddexp(0.0, -z))
         g = np.bincount(feature, weights=slope[sentence], minlength=len(w))
         scale += g * g
         step = settings.rate / np.sqrt(scale)
@@ -266,7 +266,7 @@ def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", t
             for part in slices(batch):
                 texts = part.column(1).to_pylist()
                 words = read_words(texts)
-                p = 1.0 / (1.0 + np.exp(-_sentence_logits(words, shared.value)))
+                p = np.exp(-np.logaddexp(0.0, -_sentence_logits(words, shared.value)))
                 hit = np.flatnonzero(p >= threshold) if shared.value.constant is None else []
                 rows = [(int(words.owner[i]), int(words.starts[i]), int(words.ends[i])) for i in hit]
                 yield pa.RecordBatch.from_arrays(
