@@ -39,6 +39,7 @@ class ByteEncoder:
         byte = {letter: b for b, letter in enumerate(byte_letters())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[x] for x in token): i for token, i in vocabulary.items() if token not in self.special}
+        self.largest = max(ranks.values())
         self.plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
 
@@ -51,6 +52,11 @@ class ByteEncoder:
         return ids.tobytes()
 
 
+    def encode_plain(self, text: str) -> bytes:
+        """As ``encode``, with special tokens' names as ordinary text."""
+        return array("I", self.plain.encode_ordinary(text)).tobytes()
+
+
 _ENCODERS: dict[str, ByteEncoder] = {}
 
 

@@ -34,9 +34,11 @@ from actionloom.session import discard, stored
 
 ORDER = 2
 #: Bytes of text in a block, unless one document has more.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 #: Steps per factor of two when probabilities are binned for the weights.
 BINS_PER_OCTAVE = 8
+#: More than any count can need: 2**12 steps are 512 octaves.
+MOST_BINS = 1 << 12
 ROUNDS = 200
 _END, _START = np.uint64(1), np.uint64(2)
 _SPACE = np.zeros(256, bool)
@@ -147,7 +149,7 @@ def _requests(docs: DataFrame, order: int, bits: int, limit: int) -> DataFrame:
         for block in blocks(batches, limit):
             name, trains = block.name(), np.repeat(block.train, block.lengths)
             for n, keys in enumerate(grams(block, order), 1):
-                distinct = np.unique(keys)
+                distinct, _ = np.unique(keys, return_counts=True)
                 learned, times = np.unique(keys[trains], return_counts=True)
                 counts = np.zeros(len(distinct), np.uint64)
                 counts[np.searchsorted(distinct, learned)] = times
@@ -272,7 +274,8 @@ def _bucket_of(context: np.ndarray) -> np.ndarray:
 
 
 def _bins(q: np.ndarray) -> np.ndarray:
-    return np.where(q > 0, 1 - np.round(np.log2(np.maximum(q, 1e-300)) * BINS_PER_OCTAVE), 0).astype(np.int64)
+    steps = np.round(np.log2(np.maximum(q, 1e-300)) * BINS_PER_OCTAVE)
+    return np.where(q > 0, np.minimum(1 - steps, MOST_BINS - 1), 0).astype(np.int64)
 
 
 def _center(bins: np.ndarray) -> np.ndarray:
@@ -288,13 +291,21 @@ def held_out_counts(table: DataFrame, order: int, totals: Totals) -> list[tuple]
                 use = np.repeat(train > 0, lengths)
                 rest = [c[use] - 1 for c in contexts]
                 q = [np.where(r > 0, (c[use] - 1) / np.maximum(r, 1), 0.0) for c, r in zip(counts, rest)]
-                cells, n = np.unique(np.stack([_bucket_of(rest[-1]), *map(_bins, q)]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c.tolist() for c in cells.T], pa.list_(pa.int64())), pa.array(n, pa.int64())],
-                    names=["cell", "n"])
-
-    cells = table.mapInArrow(run, "cell array<long>, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    return sorted((*r[0], r[1]) for r in cells.collect())
+                code = _bucket_of(rest[-1])
+                for b in map(_bins, q):
+                    code = code * MOST_BINS + b
+                cells, n = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n, pa.int64())], names=["cell", "n"])
+
+    table = table.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = []
+    for code, n in table.collect():
+        bins = []
+        for _ in range(order):
+            code, b = divmod(code, MOST_BINS)
+            bins.insert(0, b)
+        found.append((code, *bins, n))
+    return sorted(found)
 
 
 def learn_weights(cells: list[tuple], order: int, uniform: float, rounds: int = ROUNDS) -> np.ndarray:

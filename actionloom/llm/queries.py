@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actionloom.llm import (
-    cross_polytope, exact_dedup, interpolated_lm, language, packing, simhash, toxicity, trie_bpe,
+    cross_polytope, exact_dedup, interpolated_lm, language, packing, simhash, token_files, toxicity,
+    transcripts, trie_bpe,
 )
 from actionloom.llm.common import held_out, read_table
-from actionloom.session import tune
+from actionloom.session import shared_dir, tune
 
+#: Fixed value: the end-of-text id of the byte-level vocabulary.
+END_OF_TEXT = 50256
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _TWINS: dict[str, str] = {}
@@ -101,3 +105,44 @@ def op9_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return cross_polytope.neighbours(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query()
+def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, read back from flat files of their ids."""
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    manifest = token_files.write_token_files(
+        read_table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json"), END_OF_TEXT)
+    files = token_files.listed(spark, folder).join(manifest.select("file").distinct(), "file", "left_semi")
+    found = token_files.scan_token_files(files, folder, END_OF_TEXT)
+    return found.join(manifest, ["file", "nth"]).select("doc_id", "file", "nth", "start", "n_tokens")
+
+
+def transcript_lines(conversations: DataFrame) -> DataFrame:
+    """Raw lines of all conversations, with the speaker marked as loosely as in the wild.
+
+    The style of a conversation follows from its id. About a sixth of all turns have no
+    marker. ``role`` and ``begins`` are the truth that a parser has to recover.
+    """
+    styles = {"user": ("User", "Human", "Q", "### Customer"), "assistant": ("Assistant", "AI", "A", "### Agent"),
+              "system": ("System", "Instruction", "Context", "### System")}
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int")
+    name = F.create_map(*[x for r, names in styles.items() for x in (F.lit(r), F.array(*map(F.lit, names)))])
+    speaker = F.coalesce(F.element_at(name[F.col("role")], style + 1), F.col("role"))
+    marked = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(6)) > 0
+    lines = conversations.select(
+        "conv_id", "turn", "role", marked.alias("_marked"), speaker.alias("_speaker"),
+        F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "_raw"))
+    first = F.col("line") == 0
+    return lines.select(
+        "conv_id", "turn", "line", "role", first.alias("begins"),
+        F.when(first & F.col("_marked") & F.col("_speaker").isNotNull(), F.concat("_speaker", F.lit(": "), "_raw"))
+        .otherwise(F.col("_raw")).alias("text"))
+
+
+@query()
+def op2_transcript_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = transcript_lines(read_table(spark, sf_dir, "conversations"))
+    model = transcripts.fit(lines.filter(~held_out("conv_id", 5, 0)))
+    parsed = transcripts.parse(lines, model)
+    return parsed.withColumn("held_out", held_out("conv_id", 5, 0))
