@@ -30,7 +30,7 @@ from actionloom.llm.codepoints import cut, points, tables
 from actionloom.llm.common import slices, text_or_empty
 from actionloom.llm.hashing import hash_runs
 
-SAMPLE_PER_CLASS = 1200
+SAMPLE_PER_CLASS = 1000
 THRESHOLD = 0.5
 #: Characters after which a sentence ends.
 SENTENCE_ENDS = ".!?\n"
@@ -156,16 +156,19 @@ def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings
     y = np.array([b[0] for b in bags], float)
     if not len(y) or y.min() == y.max():
         return Model(np.empty(0, np.uint64), np.empty(0), 0.0, float(y.mean()) if len(y) else 0.0)
-    vocabulary, feature = np.unique(np.concatenate([b[1] for b in bags]), return_inverse=True)
-    document = np.repeat(np.arange(len(bags)), [len(b[1]) for b in bags])
-    pairs = np.unique(feature * len(bags) + document) // len(bags)
-    common = np.bincount(pairs, minlength=len(vocabulary)) >= settings.least_documents
-    counts = [len(np.unique(b[2])) for b in bags]
-    offsets = np.cumsum([0, *counts])
-    sentence = np.concatenate([np.unique(b[2], return_inverse=True)[1] + o for b, o in zip(bags, offsets)])
-    owner = np.repeat(np.arange(len(bags)), counts)
-    used = common[feature]
-    vocabulary, feature, sentence = vocabulary[common], (np.cumsum(common) - 1)[feature[used]], sentence[used]
+    known, support = np.unique(np.concatenate([np.unique(b[1]) for b in bags]), return_counts=True)
+    vocabulary = known[support >= settings.least_documents]
+    features, sentences, counts = [], [], []
+    for _, hashes, own in bags:
+        kinds, number = np.unique(own, return_inverse=True)
+        at = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
+        used = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
+        features.append(at[used])
+        sentences.append(number[used] + sum(counts[-1:]))
+        counts.append(len(kinds) + sum(counts[-1:]))  # sentences so far
+    feature, sentence = np.concatenate(features), np.concatenate(sentences)
+    owner = np.repeat(np.arange(len(bags)), np.diff(counts, prepend=0))
+    del known, support, features, sentences
     w, bias = np.zeros(len(vocabulary)), _START_BIAS
     scale, bias_scale = np.full(len(w), 1e-12), 1e-12
     sizes = {1: int(y.sum()), 0: int(len(y) - y.sum())}
@@ -197,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table, totals = _sample(docs, labels, id_col, text_col, label_col, settings)
     bags = [(label, np.frombuffer(hashes, np.uint64), np.frombuffer(sentences, "<u4").astype(np.int64))
             for label, hashes, sentences in zip(*[table.column(i).to_pylist() for i in range(3)])]
+    del table
     bags.sort(key=lambda b: (b[0], len(b[1]), b[1].tobytes()))
     return fit_bags(bags, settings, totals)
 
