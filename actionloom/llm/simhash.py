@@ -129,7 +129,8 @@ def links(counted: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         F.max_by("fp", F.struct("n", "fp")).alias("leader"), F.count(F.lit(1)).alias("members"))
     probes = counted.select(_keys(max_bits, probing=True).alias("key"), "fp")
     close = _within_budget("fp", "leader", max_bits) & (F.col("fp") != F.col("leader"))
-    met = stored(probes.join(leaders, "key").select("key", "fp", "leader", "members", close.alias("close"))
+    # Sizes before the explode say nothing about sizes after it, so none of these is broadcast.
+    met = stored(probes.hint("merge").join(leaders, "key").select("key", "fp", "leader", "members", close.alias("close"))
                  .filter("close OR members > 1"))
     ties = stored(met.filter("close").select(F.col("fp").alias("a"), F.col("leader").alias("b")).distinct())
     classes = stored(connected_components(ties, "a", "b"))
@@ -141,8 +142,8 @@ def links(counted: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     # Under keys with several members, the leader has been compared with everyone.
     probing = stored(classed(met.filter("members > 1").select("key", "fp")))
     crowded = met.filter("members > 1").select("key").distinct()
-    indexed = stored(classed(index.join(crowded, "key", "left_semi").join(
-        leaders.select("key", F.col("leader").alias("fp")), ["key", "fp"], "left_anti").select("key", "fp")))
+    indexed = stored(classed(index.join(crowded.hint("merge"), "key", "left_semi").join(
+        leaders.select("key", F.col("leader").alias("fp")).hint("merge"), ["key", "fp"], "left_anti").select("key", "fp")))
     mixed = probing.select("key", "class").union(indexed.select("key", "class")).groupBy("key").agg(
         F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
     one = probing.join(mixed, "key", "left_semi").select("key", F.col("fp").alias("a"), F.col("class").alias("ca"))
