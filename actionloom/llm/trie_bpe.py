@@ -60,7 +60,8 @@ class TrieEncoder:
         self.inside, self.at_end = self._lengths(False), self._lengths(True)
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.normalizer = Tokenizer.from_file(path).normalizer
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.max_chunks = max_chunks
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -153,9 +154,15 @@ class TrieEncoder:
             return text.lower().split()
         return [c for c in self.normalizer.normalize_str(text).split(" ") if c]
 
+    def _words(self, chunk: str) -> list[str]:
+        """The words of a chunk. Beyond ASCII the library's own tables say what a letter is."""
+        if chunk.isascii():
+            return [chunk] if chunk.isalpha() else self.pattern.findall(chunk)
+        return [chunk[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(chunk)]
+
     def _learn(self, chunks: set[str]) -> None:
         """Enter the ids of new chunks: those of their new words come from one trie."""
-        pieces = {c: [c] if c.isalpha() else self.pattern.findall(c) for c in chunks}
+        pieces = {c: self._words(c) for c in chunks}
         new = {w for found in pieces.values() for w in found}.difference(self.words)
         if len(self.words) + len(new) > MAX_WORDS:
             self.words.clear()
