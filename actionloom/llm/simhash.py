@@ -124,6 +124,8 @@ def links(counted: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Not every such pair, but enough of them for the same connected components.
     """
+    if max_bits == 0:  # different fingerprints are never that close
+        return counted.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter(F.lit(False))
     index = counted.select(_keys(max_bits, probing=False).alias("key"), "fp", "n")
     leaders = index.groupBy("key").agg(
         F.max_by("fp", F.struct("n", "fp")).alias("leader"), F.count(F.lit(1)).alias("members"))
