@@ -3,7 +3,8 @@
 A pseudo-rotation (three rounds of random signs and a Hadamard transform) turns a unit
 vector; its hash is the signed axis it is then nearest to. Every vector is entered under
 one hash per table. A query asks each table under several hashes, its next nearest axes,
-and the vectors met there are ranked by their exact cosine in double precision.
+and the vectors met there are ranked by their exact cosine in double precision. The fewer
+vectors there are, the more axes are asked, up to all of them: then every vector is met.
 
 Equal vectors are hashed once: only the ``k + 1`` smallest ids of each can appear in a
 result. Buckets are dealt to several parts where they are large, and a query visits every
@@ -11,12 +12,14 @@ part of its buckets, so nothing is cut off and no task has to hold a hot bucket.
 leaves a part is at most k rows per query.
 
 Defined results: vectors that are null, zero, of another length than ``dimension`` or hold
-null or non-finite components take no part, neither as queries nor as candidates. Repeated ids are ranked as often as their
-vectors differ. Ties go to the smaller id. An empty table gives an empty result.
+null or non-finite components take no part, neither as queries nor as candidates. Repeated
+ids are ranked as often as their vectors differ. Ties go to the smaller id. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,10 +37,11 @@ ROUNDS = 3
 
 @dataclass(frozen=True)
 class Settings:
-    """Tables, probes per table, and vectors per part of a bucket."""
+    """Tables, least probes per table, vectors to meet per table, and vectors per part of a bucket."""
 
     tables: int = 16
     probes: int = 5
+    meet: int = 64
     part_vectors: int = 2000
     seed: int = 42
 
@@ -53,14 +57,19 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
+def _padded(dimension: int) -> int:
+    return 1 << max(0, (dimension - 1).bit_length())
+
+
 def _signs(settings: Settings, width: int) -> np.ndarray:
     draw = np.random.default_rng(settings.seed)
     return draw.choice([-1.0, 1.0], size=(settings.tables, ROUNDS, width))
 
 
 def nearest_axes(vectors: np.ndarray, settings: Settings, axes: int) -> np.ndarray:
-    """(rows, tables, axes): the signed axes nearest to each turned vector, nearest first."""
-    width = 1 << max(0, (vectors.shape[1] - 1).bit_length())
+    """(rows, tables, axes): the signed axes nearest to each turned vector, nearest first; at most all."""
+    width = _padded(vectors.shape[1])
+    axes = min(axes, 2 * width)
     unit = np.zeros((len(vectors), width))
     unit[:, :vectors.shape[1]] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     found = np.empty((len(vectors), settings.tables, axes), np.int32)
@@ -94,7 +103,7 @@ def _hashes(vectors: DataFrame, settings: Settings, dimension: int, axes: int) -
                 part = batch.slice(start, 1024)
                 found = nearest_axes(_matrix(part.column(1), dimension), settings, axes)
                 lists = pa.ListArray.from_arrays(
-                    np.arange(len(found) + 1, dtype=np.int32) * settings.tables * axes,
+                    np.arange(len(found) + 1, dtype=np.int32) * found[0].size,
                     pa.array((found + np.arange(settings.tables)[None, :, None] * 4 * dimension).reshape(-1), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["_rep", "_v", "_cells"])
 
@@ -144,7 +153,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
     dealt = cells.join(sizes, "_cell").select(
         "_cell", F.pmod(F.xxhash64("_rep"), F.col("_parts")).cast("int").alias("_part"), "_rep", "_v",
         F.lit(False).alias("_asks"))
-    asking = _hashes(asked, settings, dimension, settings.probes).select(
+    distinct_vectors = kept.filter("_place = 1").count()
+    axes = max(settings.probes, math.ceil(2 * _padded(dimension) * settings.meet / max(1, distinct_vectors)))
+    asking = _hashes(asked, settings, dimension, axes).select(
         "_rep", "_v", F.explode("_cells").alias("_cell"))
     visits = asking.join(sizes, "_cell").select(
         "_cell", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_rep", "_v",

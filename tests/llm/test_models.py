@@ -221,9 +221,9 @@ def test_neighbours_of_odd_vectors(spark):
     draw = np.random.default_rng(5)
     rows = [(i, [float(x) for x in draw.integers(-3, 4, 4)]) for i in range(60)]
     rows += [(100 + i, [1.0, 2.0, 0.0, 1.0]) for i in range(30)] + [(50 + 150, [-0.0, 0.0, 0.0, 1.0]), (250, [0.0, 0.0, 0.0, 2.0])]
-    rows += [(300, None), (301, [0.0] * 4), (350, [math.nan, 0, 0, 1]), (400, [1.0, None, 0, 0]), (450, [math.inf, 0, 0, 1]),
-             (500, [1.0]), (None, [1.0, 0, 0, 0])]
-    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, score string")
+    rows += [(300, None), (301, [0.0] * 4), (350, [math.nan, 0.0, 0.0, 1.0]), (400, [1.0, None, 0.0, 0.0]),
+             (450, [math.inf, 0.0, 0.0, 1.0]), (500, [1.0]), (None, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<float>, rank int, score string")
     settings = cross_polytope.Settings(tables=8, probes=8, part_vectors=7)  # all axes: the search is complete
     found = {}
     for r in cross_polytope.neighbours(df, F.col("vec_id") % 50 == 0, 5, settings=settings).orderBy("query_id", "rank").collect():
@@ -243,6 +243,13 @@ def test_neighbours_of_nothing(spark):
     assert cross_polytope.neighbours(one, F.lit(True)).count() == 0
 
 
+def test_few_vectors_are_all_met(spark):
+    draw = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in draw.normal(size=64)]) for i in range(4)]
+    found = cross_polytope.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.lit(True))
+    assert sorted((r.query_id, r.vec_id) for r in found.collect()) == [(i, j) for i in range(4) for j in range(4) if i != j]
+
+
 def test_hadamard_turns_without_stretching():
     x = np.random.default_rng(2).normal(size=(5, 16))
     y = cross_polytope.hadamard(x)
