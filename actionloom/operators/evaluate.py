@@ -117,14 +117,17 @@ def uauc(df: DataFrame, actions: Sequence[str], user: str = "userid",
 
 
 def weighted_uauc(per_action: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """One row ``score``: the weighted mean of ``uauc`` over the actions, to six decimals."""
+    """One row ``score``: the weighted mean of ``uauc`` over the actions, to six decimals.
+
+    NULL unless every action has a ``uauc`` and a weight.
+    """
     weight_of = F.create_map(*[
         F.lit(x) for pair in (weights or ACTION_WEIGHTS).items() for x in pair
     ])
     weighted = per_action.withColumn("_w", weight_of[F.col("action")].cast("double"))
-    return weighted.agg(
-        F.round(F.sum(F.col("_w") * F.col("uauc")) / F.sum("_w"), SCORE_DECIMALS).alias("score")
-    )
+    known = F.bool_and(F.col("uauc").isNotNull() & F.col("_w").isNotNull())
+    mean = F.sum(F.col("_w") * F.col("uauc")) / F.sum("_w")
+    return weighted.agg(F.when(known, F.round(mean, SCORE_DECIMALS)).alias("score"))
 
 
 def score_submission(result: DataFrame, label: DataFrame, mode: str = "first") -> DataFrame:
@@ -142,6 +145,10 @@ def score_submission(result: DataFrame, label: DataFrame, mode: str = "first") -
     if absent_labels:
         return _verdict(spark.range(1), F.lit(4), F.lit(f"label columns missing: {', '.join(absent_labels)}"), actions)
 
+    # Ids that are no numbers are missing ids: their rows match nothing.
+    label, result = (
+        df.withColumns({k: F.col(k).try_cast("long") for k in keys if k in df.columns}) for df in (label, result)
+    )
     absent = [c for c in [*keys, *actions] if c not in result.columns]
     sizes = _match_sizes(result, label, [k for k in keys if k not in absent])
     if absent:

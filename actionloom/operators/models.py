@@ -27,6 +27,15 @@ def dense_features(df: DataFrame, columns: Sequence[str], out: str = "features")
     return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="error").transform(df)
 
 
+def filled_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Array columns as vectors for an assembler, missing ones all zeros. Reads the widths first."""
+    if not columns:
+        return df
+    widths = df.agg(*[F.coalesce(F.max(F.size(c)), F.lit(0)).alias(c) for c in columns]).first()
+    zeros = {c: F.array_repeat(F.lit(0.0), max(0, widths[c])) for c in columns}
+    return df.withColumns({c: array_to_vector(F.coalesce(F.col(c).cast("array<double>"), zeros[c])) for c in columns})
+
+
 def mixed_features(df: DataFrame, ids: Sequence[str], dense: Sequence[str], vectors: Sequence[str] = (),
                    buckets: int = 1 << 18, out: str = "features") -> DataFrame:
     """Ids hashed to a fixed number of indicator positions, next to dense columns and
@@ -58,11 +67,31 @@ def _gbt(max_iter: int, **params) -> GBTClassifier:
     return GBTClassifier(maxIter=max_iter, **{**settings, **params})
 
 
+def best_length(losses: Sequence[float], patience: int) -> int:
+    """How many rounds to keep: the best so far once ``patience`` rounds bring nothing better."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 def fit_gbt_early_stop(train: DataFrame, label: str, spec: FeatureSpec, max_iter: int = 100,
-                       tolerance: float = 1e-4, **params) -> Model:
-    """Boosted trees that stop when the validation day no longer improves."""
-    rows = _labelled(train, label).withColumn("_is_val", F.col(spec.day) == spec.validation_day)
-    return _gbt(max_iter, validationIndicatorCol="_is_val", validationTol=tolerance, **params).fit(rows)
+                       patience: int = 20, **params) -> tuple[Model, int]:
+    """(boosted trees of the days before validation, rounds), with the rounds that served
+    the validation day best; single rounds without a gain do not end the search.
+
+    One fit of ``max_iter`` trees, one pass of the validation day for the losses of all
+    lengths, and a fit of the best length.
+    """
+    rows = _labelled(train, label)
+    earlier = rows.filter(F.col(spec.day) != spec.validation_day)
+    validation = rows.filter(F.col(spec.day) == spec.validation_day)
+    longest = _gbt(max_iter, **params).fit(earlier)
+    rounds = best_length(longest.evaluateEachIteration(validation), patience)
+    return (longest if rounds == max_iter else _gbt(rounds, **params).fit(earlier)), rounds
 
 
 def fit_gbt(train: DataFrame, label: str, max_iter: int, **params) -> Model:
@@ -71,8 +100,8 @@ def fit_gbt(train: DataFrame, label: str, max_iter: int, **params) -> Model:
 
 def fit_gbt_refit(train: DataFrame, label: str, spec: FeatureSpec, max_iter: int = 100, **params) -> tuple[Model, Model]:
     """(the early-stopped model, a model of as many trees fitted on all rows)."""
-    stopped = fit_gbt_early_stop(train, label, spec, max_iter, **params)
-    return stopped, fit_gbt(train, label, stopped.getNumTrees, **params)
+    stopped, rounds = fit_gbt_early_stop(train, label, spec, max_iter, **params)
+    return stopped, fit_gbt(train, label, rounds, **params)
 
 
 def fit_gbt_weighted(train: DataFrame, label: str, max_iter: int = 200, **params) -> Model:

@@ -27,16 +27,22 @@ _BRACKET = 0.01
 _PARTS = 1024
 
 
-def hash_order(id_column: str, seed: int) -> Column:
-    """A reproducible pseudo-random sort key for a unique id."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")))
+def hash_order(id_column: str | Sequence[str], seed: int) -> Column:
+    """A reproducible pseudo-random sort key for a unique id, of one column or several.
+
+    Missing ids take part like any other value. Rows with equal ids have equal keys, so
+    they are kept or dropped together and a size is exact up to such repeats.
+    """
+    columns = [id_column] if isinstance(id_column, str) else list(id_column)
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.md5(F.concat_ws("\x1f", F.concat(F.lit(f"{seed}:"), parts[0]), *parts[1:]))
 
 
 def _leading(hashed: Column, digits: int) -> Column:
     return F.substring(hashed, 1, digits)
 
 
-def hash_cutoffs(df: DataFrame, by: Sequence[str], id_column: str, seed: int,
+def hash_cutoffs(df: DataFrame, by: Sequence[str], id_column: str | Sequence[str], seed: int,
                  ranks: Mapping[str, Column], digits: int = 4) -> DataFrame:
     """Per group of ``by``: the hash standing at each wanted rank.
 
@@ -65,12 +71,13 @@ def hash_cutoffs(df: DataFrame, by: Sequence[str], id_column: str, seed: int,
         *by, "_slice", "_name", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_place")
     )
     inside = W.partitionBy(*by, "_slice").orderBy("_hash")
-    marked = hashed.join(
-        holders.groupBy(*by, "_slice").agg(
-            F.collect_set(F.struct("_name", "_place")).alias("_wanted")
-        ),
-        [*by, "_slice"],
-    ).withColumn("_place_here", F.row_number().over(inside))
+    slices_wanted = holders.groupBy(*by, "_slice").agg(
+        F.collect_set(F.struct("_name", "_place")).alias("_wanted")
+    )
+    if not by:
+        # At most one slice per wanted rank, so the rows are filtered where they are.
+        slices_wanted = F.broadcast(slices_wanted)
+    marked = hashed.join(slices_wanted, [*by, "_slice"]).withColumn("_place_here", F.row_number().over(inside))
     found = marked.select(
         *by, "_hash", "_place_here", F.inline("_wanted")
     ).filter(F.col("_place") == F.col("_place_here"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,17 +17,43 @@ from actionloom.operators.encode import label_encode, robust_scale
 from actionloom.operators.evaluate import uauc, weighted_uauc
 from actionloom.operators.globals_ import attach_global_profile
 from actionloom.operators.models import (
-    Fit, dense_features, fit_fm, fit_gbt, fit_gbt_early_stop, fit_gbt_weighted, kfold_ensemble,
+    Fit, dense_features, filled_vectors, fit_fm, fit_gbt, fit_gbt_early_stop, fit_gbt_weighted, kfold_ensemble,
     mixed_features, multi_action_score, predict,
 )
-from actionloom.operators.sampling import assign_folds
+from actionloom.operators.sampling import (
+    assign_folds, negative_sample, negative_sample_phase, negative_sample_stratified,
+)
 from actionloom.operators.windows import attach
 from actionloom.session import stored
-from actionloom.spec import ACTIONS_FIRST_STAGE, ROLLING_KEY_SETS, FeatureSpec
+from actionloom.spec import (
+    ACTIONS_FIRST_STAGE, EARLY_NEGATIVE_RATE, LATE_NEGATIVE_RATE, NEGATIVE_RATE, ROLLING_KEY_SETS, FeatureSpec,
+)
 
 _WATCH = ("is_finish", "play_times", "play", "stay")
 
 
+Sampling = Callable[[DataFrame, str], DataFrame]
+
+
+def sampled_rows(mode: str, row_id: str | Sequence[str], first_day: int | None = None,
+                 day: str = "date_") -> Sampling:
+    """Training rows of an action: "full", "exact", "phase" or "stratified" by the fixed
+    rates, from ``first_day`` on."""
+    def sample(df: DataFrame, action: str) -> DataFrame:
+        rows = df if first_day is None else df.filter(F.col(day) >= first_day)
+        if mode == "full":
+            return rows
+        if mode == "exact":
+            return negative_sample(rows, action, NEGATIVE_RATE[action], row_id)
+        if mode == "phase":
+            return negative_sample_phase(rows, action, EARLY_NEGATIVE_RATE[action], LATE_NEGATIVE_RATE[action],
+                                         row_id, day)
+        if mode == "stratified":
+            return negative_sample_stratified(rows, action, NEGATIVE_RATE[action], row_id)
+        raise ValueError("mode must be full, exact, phase or stratified")
+    return sample
+
+
 @dataclass
 class Scored:
     """Predictions for the scoring set, and the offline quality where it was measured."""
@@ -60,16 +86,18 @@ def train_rolling_gbt(table: DataFrame, spec: FeatureSpec, max_iter: int = 100,
     with as many trees, applied to the rows without a label."""
     excluded = [spec.day, *_WATCH, *spec.actions, *extra_excluded]
     columns = feature_columns(table, excluded)
-    prepared = stored(dense_features(table.fillna(0, subset=columns), columns).select(
+    vectors = [c for c in columns if table.schema[c].dataType.typeName() == "array"]
+    numbers = [c for c in columns if c not in vectors]
+    prepared = stored(dense_features(filled_vectors(table.fillna(0, subset=numbers), vectors), columns).select(
         spec.user, spec.item, spec.day, *actions, "features"
     ))
     train, score = split_by_label(prepared, actions[0])
     _, validation = split_by_day(train, spec)
     submission = score.drop(*actions)
     for action in actions:
-        stopped = fit_gbt_early_stop(train, action, spec, max_iter, **params)
+        stopped, trees = fit_gbt_early_stop(train, action, spec, max_iter, **params)
         validation = predict(stopped, validation, f"p_{action}")
-        final = fit_gbt(train, action, stopped.getNumTrees, **params)
+        final = fit_gbt(train, action, trees, **params)
         submission = predict(final, submission, action)
     # Tree predictions are compared as they are, not rounded to submission decimals.
     per_action = uauc(validation, actions, spec.user, decimals=None)
@@ -90,15 +118,29 @@ def side_table_features(inter: DataFrame, scoring: DataFrame, items: DataFrame,
     summaries = [f"{t.prefix}_{s}" for t in side_tables for s in ("avg", "max", "sum")]
     scaled = [*dense, *summaries]
     # Stored once: scaling reads it several times, and every fit starts from it.
-    stored = stored(rows.withColumns({c: F.col(c).cast("double") for c in scaled}))
+    table = stored(rows.withColumns({c: F.col(c).cast("double") for c in scaled}))
     vectors = [t.prefix for t in side_tables if t.keep]
-    return split_by_tag(mixed_features(robust_scale(stored, scaled), ids, scaled, vectors, buckets))
+    return split_by_tag(mixed_features(robust_scale(table, scaled), ids, scaled, vectors, buckets))
 
 
 def train_side_table(train: DataFrame, score: DataFrame, spec: FeatureSpec, fit: Fit = fit_fm, k: int = 0,
-                     row_id: str | None = None, actions: Sequence[str] = ACTIONS_FIRST_STAGE) -> Scored:
-    """One model per action, or the mean of ``k`` fold models."""
+                     row_id: str | None = None, actions: Sequence[str] = ACTIONS_FIRST_STAGE,
+                     sample: Sampling | None = None, stage: str = "online") -> Scored:
+    """One model per action, or the mean of ``k`` fold models.
+
+    ``sample`` thins the training rows of each action, such as ``sampled_rows`` does.
+    ``stage`` "offline" holds out the validation day, measures on it, and scores it.
+    """
     keys = [spec.user, spec.item]
+    if sample is not None:
+        full_fit = fit
+        fit = lambda df, label: full_fit(sample(df, label), label)
+    if stage == "offline":
+        earlier, validation = split_by_day(train, spec)
+        measured = multi_action_score(earlier, validation, actions, fit, "p_")
+        per_action = uauc(measured, actions, spec.user, decimals=None)
+        submission = measured.select(*keys, *[F.col(f"p_{a}").alias(a) for a in actions])
+        return Scored(submission, per_action, weighted_uauc(per_action))
     bare = score.drop(*actions)
     if k:
         folds = assign_folds(train, k, row_id)

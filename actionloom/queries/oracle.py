@@ -691,6 +691,17 @@ def oracle_sql() -> dict[str, str]:
             "GROUP BY action) JOIN weights USING (action)",
             f"{_PREDICTED(ACT4)}, {_weights(ACT4)}",
         ),
+        "weighted_uauc_incomplete": _sql(
+            ["predictions"],
+            "SELECT CASE WHEN count(uauc) = count(*) THEN round(sum(w * uauc) / sum(w), 6) END AS score FROM weights "
+            "LEFT JOIN (SELECT action, avg(auc) AS uauc FROM aucs GROUP BY action) USING (action)",
+            _auc_ctes(_long("(SELECT * FROM predictions WHERE forward = 0)", ACT4, '"{a}"', "p_{a}"))
+            + f", {_weights(ACT4)}",
+        ),
+        "validate_sources": " UNION ALL ".join(
+            f"SELECT '{name}' AS name, true AS present, '{absent}' AS missing_columns, count(*) AS row_count FROM {name}"
+            for name, absent in (("events", ""), ("part", ""), ("embeddings", ""), ("lineitem", "l_finish_rate"))
+        ) + " UNION ALL SELECT 'side_table', false, 'userid', 0",
         "score_submission": _scored(ACT4),
         "score_submission_all_actions": _scored(ACT7),
         "score_submission_bad_rows": _sql(["interactions"], f"SELECT {_verdict(1, unequal)}"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# They are part of the result contract and must not be tuned.
+# Fixed values, down to ROLLING_KEY_SETS: actions, weights, thresholds, missing marks, rates and
+# column names are part of the result contract and must not be tuned.
 ACTIONS_FIRST_STAGE = ("read_comment", "like", "click_avatar", "forward")
 ACTIONS_ALL = (
     "read_comment", "like", "click_avatar", "forward", "favorite", "comment", "follow",
