@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actionloom.llm import (
-    cross_polytope, exact_dedup, interpolated_lm, language, packing, simhash, token_files, toxicity,
-    transcripts, trie_bpe,
+    byte_shards, conversation_repair, cross_polytope, exact_dedup, interpolated_lm, language, packing, simhash,
+    token_files, toxicity, transcripts, trie_bpe,
 )
 from actionloom.llm.common import held_out, read_table
 from actionloom.session import shared_dir, tune
@@ -146,3 +146,113 @@ def op2_transcript_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = transcripts.fit(lines.filter(~held_out("conv_id", 5, 0)))
     parsed = transcripts.parse(lines, model)
     return parsed.withColumn("held_out", held_out("conv_id", 5, 0))
+
+
+#: The table of the CRC-32 polynomial, one entry per byte, made from its rule.
+_CRC_TABLE = """
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v
+    FROM range(256) r(i))"""
+
+
+def _crc_sql(bytes_sql: str) -> str:
+    return f"xor(list_reduce({bytes_sql}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
+
+
+@query(f"""
+WITH crc AS MATERIALIZED ({_CRC_TABLE}),
+bytes AS MATERIALIZED (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b
+  FROM documents),
+sized AS (SELECT doc_id, size, {_crc_sql('b')} AS text_crc32 FROM bytes, crc),
+placed AS (
+  SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(size) OVER () AS total
+  FROM sized),
+dealt AS (
+  SELECT *, least(39, ((2 * before + size) * 40) // (2 * total))::INT AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY before, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       cast(NULL AS INT) AS grown_shard
+FROM dealt
+""")
+def op12_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_shards.shard_documents(read_table(spark, sf_dir, "documents")).withColumn(
+        "grown_shard", F.lit(None).cast("int"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with the faults that their ids ask for; ``times`` is 0 for a row that is lost, 2 for a repeat."""
+    written = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(written("conv_id"), F.lit(":"), written("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(written("text"), ".!?", "")).otherwise(written("text"))
+    return conversations.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(written("role")).alias("role"), text.alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("times"))
+
+
+@query(f"""
+WITH RECURSIVE crc AS MATERIALIZED ({_CRC_TABLE}),
+base AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc_sql("list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)")} % 20 AS k
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM base, range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) copies),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM damaged),
+rows AS MATERIALIZED (
+  SELECT *, left(role, 1) AS c,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+              WHEN nth > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i
+  FROM seen),
+faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, max(i) AS n,
+         count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM rows) GROUP BY conv_id),
+keeps(q, c, to_q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+adds(q, to_q) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+inserted(q, m, letters, lines) AS (
+  SELECT q, q, '', []::VARCHAR[] FROM adds
+  UNION ALL SELECT q, to_q, 'I', [CASE to_q WHEN 2 THEN 'user:' ELSE 'assistant:' END] FROM adds
+  UNION ALL SELECT a.q, b.to_q, 'II', [CASE a.to_q WHEN 2 THEN 'user:' ELSE 'assistant:' END,
+                                       CASE b.to_q WHEN 2 THEN 'user:' ELSE 'assistant:' END]
+  FROM adds a JOIN adds b ON b.q = a.to_q),
+moves AS MATERIALIZED (
+  SELECT conv_id, i, m.q AS m, m.q AS to_q, 3 AS cost, 'D' AS letter, []::VARCHAR[] AS line FROM rows, adds m
+  UNION ALL
+  SELECT conv_id, i, k.q, k.to_q, (fault = 'truncated')::INT, 'K', [role || ':' || text]
+  FROM rows JOIN keeps k ON k.c = rows.c WHERE fault IN ('', 'truncated')
+  UNION ALL
+  SELECT conv_id, i, a.q, a.to_q, 2 + (fault = 'truncated')::INT, 'R',
+         [CASE a.to_q WHEN 2 THEN 'user:' ELSE 'assistant:' END || text]
+  FROM rows, adds a WHERE fault IN ('', 'truncated')),
+best AS (
+  SELECT conv_id, n + 1 AS i, q, {{'cost': cost, 'audit': audit, 'lines': lines}} AS way
+  FROM faults, (VALUES (0, 0, '', []::VARCHAR[]), (1, 4, 'II', ['user:', 'assistant:']), (2, 2, 'I', ['assistant:']),
+                       (3, 0, '', []::VARCHAR[])) ends(q, cost, audit, lines)
+  UNION ALL
+  SELECT v.conv_id, v.i, ins.q,
+         min({{'cost': 2 * length(ins.letters) + v.cost + b.way.cost, 'audit': ins.letters || v.letter || b.way.audit,
+              'lines': ins.lines || v.line || b.way.lines}})
+  FROM best b JOIN moves v ON v.conv_id IS NOT DISTINCT FROM b.conv_id AND v.i = b.i - 1 AND v.to_q = b.q
+  JOIN inserted ins ON ins.m = v.m
+  GROUP BY v.conv_id, v.i, ins.q)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0)::BIGINT AS cost,
+       coalesce(way.audit, '') AS audit, sha256(coalesce(array_to_string(way.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.i = 1 AND b.q = 0
+""")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(read_table(spark, sf_dir, "conversations"))
+    return conversation_repair.digest(conversation_repair.repair(rows, times_col="times")).withColumnRenamed("conv", "conv_id")
