@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actionloom.llm import (
-    byte_shards, conversation_repair, cross_polytope, exact_dedup, interpolated_lm, language, packing, simhash,
-    token_files, toxicity, transcripts, trie_bpe,
+    byte_shards, collocations, conversation_repair, cross_polytope, exact_dedup, interpolated_lm, language, packing,
+    simhash, token_files, toxicity, transcripts, trie_bpe,
 )
 from actionloom.llm.common import held_out, read_table
 from actionloom.session import shared_dir, tune
@@ -256,3 +256,38 @@ LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.i = 1 AND b.q
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = damaged(read_table(spark, sf_dir, "conversations"))
     return conversation_repair.digest(conversation_repair.repair(rows, times_col="times")).withColumnRenamed("conv", "conv_id")
+
+
+@query(r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+pieces AS MATERIALIZED (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts)),
+counts AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM pieces, range(1, 5) ks(k), range(1, len(w) - k + 2) starts(i) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT c.*, l.f AS l, r.f AS r, c.at,
+         (2000000::HUGEINT * a) // (l.f::HUGEINT + r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS at FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.k = c.at AND l.phrase = array_to_string(w[1:c.at], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.k = c.k - c.at AND r.phrase = array_to_string(w[c.at + 1:c.k], ' ')),
+weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, at) = 1),
+inside AS (
+  SELECT lang, m AS k, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM candidates c, range(2, c.k) ms(m), range(1, c.k - m + 2) ss(s) GROUP BY ALL),
+kept AS (
+  SELECT x.* FROM weakest x LEFT JOIN inside i ON i.lang = x.lang AND i.k = x.k AND i.phrase = x.phrase
+  WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * x.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a, l, r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+""")
+def op13_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents")).withColumn("rank", F.col("rank").cast("long"))
