@@ -381,7 +381,9 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     known = totals.collect()  # one row per language
     buckets = {r["lang"]: -(-r["n"] // BUCKET_PAIRS) for r in known}
     vocabulary = ranked(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "word")
-    state = stored(chunks.select("lang", "chunk", "codes").groupBy("lang", "chunk").cogroup(
+    # Columns of their own, since both sides of the cogroup come from the same table.
+    coded = chunks.select(F.col("lang").alias("lang"), F.col("chunk").alias("chunk"), "codes")
+    state = stored(coded.groupBy("lang", "chunk").cogroup(
         words.join(vocabulary, ["lang", "word"]).select("lang", "chunk", "place", "id").groupBy("lang", "chunk"),
     ).applyInArrow(_word_state, _STATE))
     spell = vocabulary.select("lang", "id", F.array("id").alias("w"), "f")
