@@ -18,16 +18,26 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+#: A run of so much white space is more than the faster library's regular expressions stand.
+LONG_SPACE = 100_000
+
+
+def _has_long_space(text: str) -> bool:
+    return len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in re.finditer(r"\s+", text))
+
+
 class ByteEncoder:
     """Ids as the tokenizers library gives them for the file at ``path``.
 
     In these files ids of merged tokens ascend in the order of the merges, so they are the
-    ranks that the faster tiktoken library wants. A file of another kind is refused.
+    ranks that the faster tiktoken library wants. A file of another kind is refused. Texts
+    with very long white space go to the tokenizers library itself.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, layout = spec["model"], spec["pre_tokenizer"]
@@ -45,17 +55,27 @@ class ByteEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers; special tokens are recognised."""
+        if _has_long_space(text):
+            return self._by_tokenizers(text, plain=False)
         ids = array("I")
         parts = self.split(text) if self.split and any(s in text for s in self.special) else [text]
         for part in parts:
             ids.extend([self.special[part]] if part in self.special else self.plain.encode_ordinary(part))
         return ids.tobytes()
 
-
     def encode_plain(self, text: str) -> bytes:
         """As ``encode``, with special tokens' names as ordinary text."""
+        if _has_long_space(text):
+            return self._by_tokenizers(text, plain=True)
         return array("I", self.plain.encode_ordinary(text)).tobytes()
 
+    def _by_tokenizers(self, text: str, plain: bool) -> bytes:
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = plain
+        return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
+
 
 _ENCODERS: dict[str, ByteEncoder] = {}
 

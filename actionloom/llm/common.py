@@ -29,3 +29,10 @@ def slices(batch, rows: int = SLICE_ROWS):
     """An Arrow batch in pieces of a few rows."""
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name

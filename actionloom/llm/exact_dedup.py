@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actionloom.llm.common import SPACES, text_or_empty
+from actionloom.llm.common import SPACES, text_or_empty, unused_name
 from actionloom.session import stored
 
 PREFIX_CHARS = 64
@@ -99,11 +99,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
-    numbered = stored(docs.withColumn("_llm_row", F.monotonically_increasing_id()))
+    row = unused_name(docs, "_llm_row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
     dropped = stored(
-        duplicate_groups(numbered, id_col, text_col, row_col="_llm_row").filter(~F.col("kept"))
-        .select(F.col("_row").alias("_llm_row")))
-    return numbered.join(dropped, "_llm_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+        duplicate_groups(numbered, id_col, text_col, row_col=row).filter(~F.col("kept"))
+        .select(F.col("_row").alias(row)))
+    return numbered.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(text_col: str = "text") -> Column:

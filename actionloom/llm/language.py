@@ -280,9 +280,12 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a language of at least ``least_score``, with their own columns."""
+    """The rows of ``docs`` with a language of at least ``least_score``, with their own columns.
+
+    Without a model, as no row was labelled, there is nothing to reject by: all rows stay.
+    """
     if model is None:
-        return docs.limit(0)
+        return docs
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actionloom.llm.common import slices, text_or_empty
+from actionloom.llm.common import slices, text_or_empty, unused_name
 from actionloom.llm.components import connected_components
 from actionloom.session import discard, stored
 
@@ -176,9 +176,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows that repeat the kept id stay; a class without any id stays as a whole.
     """
     found = near_duplicates(docs, id_col, text_col)
-    gone = stored(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_llm_id")))
+    gone_id = unused_name(docs, "_llm_id")
+    gone = stored(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone_id)))
     nameless = F.col(id_col).isNull()
-    kept = docs.filter(~nameless).join(gone, F.col(id_col) == F.col("_llm_id"), "left_anti")
+    kept = docs.filter(~nameless).join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
     return kept.unionByName(docs.filter(nameless))
 
 

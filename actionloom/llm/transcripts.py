@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +75,17 @@ _SIZES = {"marker": len(KINDS), "length": 12, "question": 2, "opening": 2, "quot
 
 
 def without_marker(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, _MARKER, ""))
+    """The text after its speaker marker. Only for lines that begin a turn with a known speaker."""
+    return F.regexp_replace(text, _MARKER, "")
 
 
 def fit(lines: DataFrame, text_col: str = "text", role_col: str = "role", begins_col: str = "begins",
         order_cols: tuple[str, ...] = ("conv_id", "turn", "line")) -> Model:
-    """Counts of labelled lines; a line's predecessor is the one before in ``order_cols``."""
+    """Counts of labelled lines; a line's predecessor is the one before in ``order_cols``.
+
+    Lines repeated under the same keys count once for starts and transitions. A conversation
+    starts with its least turn, whatever its number.
+    """
     seen = observe(lines.filter(F.col(role_col).isNotNull()), text_col)
     roles = [r[0] for r in seen.select(role_col).distinct().orderBy(role_col).collect()]
     if not roles:
@@ -96,6 +102,7 @@ def fit(lines: DataFrame, text_col: str = "text", role_col: str = "role", begins
         emit[f] = np.log(counts / counts.sum(axis=1, keepdims=True))
     # The state before is that of the line before, or of the last line of the turn before.
     first, turn, line = order_cols
+    seen = seen.groupBy(*order_cols).agg(F.min("_state").alias("_state"))
     ends = seen.groupBy(first, turn).agg(F.max_by("_state", line).alias("_before"), F.max(line).alias("_top"))
     inner = seen.join(seen.select(first, turn, (F.col(line) + 1).alias(line), F.col("_state").alias("_before")),
                       [first, turn, line]).groupBy("_before", "_state").count()
@@ -105,7 +112,8 @@ def fit(lines: DataFrame, text_col: str = "text", role_col: str = "role", begins
     for a, b, n in [*inner.collect(), *outer.collect()]:
         move[a, b] += n
     start = np.ones(states)
-    for s, n in seen.filter((F.col(turn) == 0) & (F.col(line) == 0)).groupBy("_state").count().collect():
+    opening = seen.groupBy(first).agg(F.min(F.struct(turn, line, "_state")).alias("_first"))
+    for s, n in opening.groupBy("_first._state").count().collect():
         start[s] += n
     return Model(roles, np.log(start / start.sum()), np.log(move / move.sum(axis=1, keepdims=True)), emit)
 
@@ -154,9 +162,10 @@ def parse(lines: DataFrame, model: Model, text_col: str = "text",
           order_cols: tuple[str, ...] = ("conv_id", "turn", "line"), slice_lines: int = SLICE_LINES) -> DataFrame:
     """(order_cols, role_pred, begins_pred, rendered) of every line.
 
-    ``rendered`` holds the line without its marker, after the canonical header where a turn
-    begins and before the closing mark where the transcript ends: in order, the lines of a
-    transcript are its canonical form.
+    ``rendered`` holds the line, after the canonical header where a turn begins and before the
+    closing mark where the transcript ends: in order, the lines of a transcript are its canonical
+    form. Of the line itself only the marker of a known speaker goes, and only where a turn begins;
+    other names before a colon, indentation and all else stay.
     """
     spark, (conv, turn, line) = lines.sparkSession, order_cols
     kind = {c: lines.schema[c].dataType.simpleString() for c in order_cols}
@@ -221,10 +230,12 @@ def parse(lines: DataFrame, model: Model, text_col: str = "text",
             states[a:b] = decode(emissions[a:b], first, m.move, None if at is None else at["end"])
             closing[b - 1] = at is None or at["closes"]
         begins = states >= len(m.roles)
+        spoken = begins & (group.column("marker").to_numpy() > KINDS.index("other"))
         roles = np.array(m.roles, object)[states % len(m.roles)]
         return pa.Table.from_arrays(
             [*[group.column(c).combine_chunks() for c in ("_conv", "_turn", "_line")], pa.array(roles, pa.string()),
-             pa.array(begins), pa.array(closing), group.column("_plain").combine_chunks()],
+             pa.array(begins), pa.array(closing), pc.if_else(pa.array(spoken), *[group.column(c).combine_chunks()
+                                                                               for c in ("_plain", "_text")])],
             names=[*order_cols, "role_pred", "begins_pred", "_closes", "_plain"])
 
     keys = ", ".join(f"`{c}` {kind[c]}" for c in order_cols)

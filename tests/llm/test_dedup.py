@@ -150,3 +150,12 @@ def test_keep_one_and_empty(spark):
     kept = simhash.keep_one(df)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and kept.columns == df.columns
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
+
+
+def test_columns_named_like_the_helpers_stay(spark):
+    rows = spark.createDataFrame(
+        [(1, "one two three four five", 71, 81), (2, "one two three four five", 72, 82), (3, "else", 73, 83)],
+        "doc_id long, text string, _llm_id long, _llm_row long")
+    kept = {1: (71, 81), 3: (73, 83)}
+    assert {r.doc_id: (r._llm_id, r._llm_row) for r in simhash.keep_one(rows).collect()} == kept
+    assert {r.doc_id: (r._llm_id, r._llm_row) for r in exact_dedup.drop_duplicates(rows).collect()} == kept

@@ -271,3 +271,9 @@ def test_recall_of_the_query(spark):
         hits += len(found[ids[at]] & set(ids[np.lexsort((ids, -s))[:5]]))
         total += 5
     assert hits >= 0.9 * total
+
+
+def test_unlabelled_corpus_stays(spark):
+    rows = docs(spark, [(1, "some words", None), (2, None, None)])
+    model = language.fit(rows)
+    assert model is None and language.keep_identified(rows, model, 0.4).count() == 2

@@ -149,3 +149,13 @@ def test_separator_scan_of_a_file_without_last_end(spark, tmp_path):
 def test_token_files_of_an_empty_table(spark):
     folder = f"{shared_dir(spark)}/tokens-none-{np.random.randint(1 << 30)}"
     assert token_files.write_token_files(empty(spark), folder, BYTES, END_OF_TEXT).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + " \n\t" * 500_000 + "b", "x " * 90_000 + "\u3000" * 150_000 + " y"])
+def test_long_white_space(text):
+    path = vocabulary("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    want = whole.encode(text, add_special_tokens=False).ids
+    encoder = ByteEncoder(path)
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+    assert np.frombuffer(encoder.encode_plain(text), "<u4").tolist() == want

@@ -71,3 +71,35 @@ def test_held_out_accuracy(spark):
     rows = found.join(truth, ["conv_id", "turn", "line"]).filter("held_out").collect()
     assert found.count() == truth.count()
     assert sum(r.role == r.role_pred for r in rows) >= 0.85 * len(rows)
+
+
+def test_only_true_markers_go(spark):
+    """Rendered lines without the headers are the raw lines but for the markers of speakers."""
+    raw = ["User: Note: keep it safe", "Warning: hot", "https://example.org", "    indented: code", "  * Tip : x ",
+           "Q: a: b"]
+    talk = [(50, 0, n, text, "user", n == 0) for n, text in enumerate(raw)]
+    model = transcripts.fit(_lines(spark, TALK))
+    found = sorted(transcripts.parse(_lines(spark, talk), model).collect(), key=lambda r: r.line)
+    import re
+    for r, text in zip(found, raw):
+        plain = re.sub(r"<\|end\|>$", "", re.sub(r"^<\|\w+\|>\n", "", r.rendered)).removesuffix("\n")
+        marker = re.match(r"(User|Q): ", text) if r.begins_pred else None
+        assert plain == text[marker.end() if marker else 0:], (plain, text)
+    assert found[0].begins_pred and found[0].rendered.endswith("\nNote: keep it safe")
+
+
+def test_counts_of_fit(spark):
+    """Starts and transitions against a plain count; repeated rows and later first turns too."""
+    shifted = [(c, t + 3, n, text, role, b) for c, t, n, text, role, b in TALK]
+    model = transcripts.fit(_lines(spark, shifted + shifted[:6] * 30))
+    roles = sorted({r[4] for r in TALK})
+    states = [roles.index(r[4]) + len(roles) * r[5] for r in shifted]
+    move, start = np.ones((4, 4)), np.ones(4)
+    for a, b, x, y in zip(shifted, shifted[1:], states, states[1:]):
+        if a[0] == b[0]:
+            move[x, y] += 1
+    for r, s in zip(shifted, states):
+        start[s] += r[1] == 3 and r[2] == 0
+    assert model.roles == roles
+    assert np.allclose(np.exp(model.move), move / move.sum(axis=1, keepdims=True))
+    assert np.allclose(np.exp(model.start), start / start.sum())
