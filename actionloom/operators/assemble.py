@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from actionloom.functions.signals import any_action
 from actionloom.functions.vectors import vector_summary
-from actionloom.operators.windows import attach, rolling_stats
+from actionloom.operators.windows import attach, rolling_stats_as_of
 from actionloom.spec import ITEM_ID_COLUMNS, FeatureSpec
 
 
@@ -57,9 +57,13 @@ def impute(df: DataFrame, spec: FeatureSpec, stat_columns: Sequence[str] | None
 
 def attach_rolling(rows: DataFrame, history: DataFrame, key_sets: Sequence[Sequence[str]],
                    spec: FeatureSpec) -> DataFrame:
-    """Join the rolling statistics of every key set to the rows' own day."""
+    """Join the rolling statistics of every key set to the rows' own day.
+
+    Statistics are made for the days on which a key has rows, not for every day it could.
+    """
+    probes = rows.select(spec.day, *dict.fromkeys(k for keys in key_sets for k in keys))
     for keys in key_sets:
-        rows = attach(rows, rolling_stats(history, keys, spec), [*keys, spec.day])
+        rows = attach(rows, rolling_stats_as_of(history, probes, keys, spec), [*keys, spec.day])
     return rows
 
 

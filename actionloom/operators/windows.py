@@ -101,17 +101,32 @@ def _mean(c: str, over: str = "") -> str:
     return f"try_divide(cast(sum(`_s_{c}`){over} AS double), sum(`_n_{c}`){over})"
 
 
-def _entity_window_stats(df: DataFrame, key: str, other: str, prefix: str, counts: tuple[str, str],
-                         spec: FeatureSpec) -> DataFrame:
+#: Per entity: how its columns begin, and the names of its row count and distinct count.
+_ENTITIES = {"user": ("user", ("user_action_cnt", "user_feed_cnt")), "item": ("feed", ("feed_expo_cnt", "feed_user_cnt"))}
+
+
+def _sides(entity: str, spec: FeatureSpec) -> tuple[str, str]:
+    """The key of an entity and what it is paired with."""
+    return (spec.user, spec.item) if entity == "user" else (spec.item, spec.user)
+
+
+def entity_day_partials(inter: DataFrame, entity: str, spec: FeatureSpec) -> DataFrame:
+    """Sums and counts per (key, day), for the days that feed a target day."""
+    key, other = _sides(entity, spec)
     measured = ["play", "stay", *spec.actions]
     present = F.col(other).isNotNull().cast("long")
-    rows = df.select(key, other, spec.day, *measured, present.alias("_present"))
+    rows = inter.select(key, other, spec.day, *measured, present.alias("_present"))
+    return _day_partials(rows, [key], [*measured, "_present"], [], spec)
+
+
+def entity_stats_of_partials(partials: DataFrame, pairs: DataFrame, entity: str, spec: FeatureSpec) -> DataFrame:
+    """Window statistics from ``entity_day_partials`` and (user, item, day) rows, repeated or not."""
+    key, other = _sides(entity, spec)
+    prefix, counts = _ENTITIES[entity]
     low, high = _target_range(spec)
-    sums = _day_partials(rows, [key], [*measured, "_present"], [], spec).withColumns(
-        {"_from": low, "_to": high}
-    )
+    sums = partials.filter(_feeds_a_target(spec)).withColumns({"_from": low, "_to": high})
     distinct = (
-        covered_targets(rows.filter(F.col(key).isNotNull()), [key], other, spec)
+        covered_targets(pairs.filter(F.col(key).isNotNull()), [key], other, spec)
         .groupBy(key, spec.day)
         .agg(F.count(F.lit(1)).alias("_distinct"))
         .withColumns({"_from": F.col(spec.day), "_to": F.col(spec.day)})
@@ -129,18 +144,12 @@ def _entity_window_stats(df: DataFrame, key: str, other: str, prefix: str, count
     return _fan_out(both, spec).groupBy(key, spec.day).agg(*map(F.expr, measures))
 
 
-def user_window_stats(inter: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """18 measures per (user, target day)."""
-    return _entity_window_stats(
-        inter, spec.user, spec.item, "user", ("user_action_cnt", "user_feed_cnt"), spec
-    )
+def _entity_window_stats(df: DataFrame, entity: str, spec: FeatureSpec) -> DataFrame:
+    return entity_stats_of_partials(entity_day_partials(df, entity, spec), df, entity, spec)
 
 
-def item_window_stats(inter: DataFrame, items: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """20 measures per (item, target day); the two rates compare watch time with duration."""
-    stats = _entity_window_stats(
-        inter, spec.item, spec.user, "feed", ("feed_expo_cnt", "feed_user_cnt"), spec
-    )
+def with_watch_rates(stats: DataFrame, items: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """Item statistics with the two rates that compare watch time with duration."""
     durations = items.select(spec.item, spec.duration)
     rate = lambda c: F.try_divide(F.col(c) / 1000, F.col(spec.duration))
     return (
@@ -151,6 +160,16 @@ def item_window_stats(inter: DataFrame, items: DataFrame, spec: FeatureSpec) ->
     )
 
 
+def user_window_stats(inter: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """18 measures per (user, target day)."""
+    return _entity_window_stats(inter, "user", spec)
+
+
+def item_window_stats(inter: DataFrame, items: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """20 measures per (item, target day); the two rates compare watch time with duration."""
+    return with_watch_rates(_entity_window_stats(inter, "item", spec), items, spec)
+
+
 _WATCHED = ("play_times", "play", "stay")
 
 
@@ -177,32 +196,70 @@ def _rolling_measures(keys: Sequence[str], spec: FeatureSpec, over: str = "") ->
     return out
 
 
-def _rolling_partials(df: DataFrame, keys: Sequence[str], spec: FeatureSpec) -> DataFrame:
+def rolling_day_partials(df: DataFrame, keys: Sequence[str], spec: FeatureSpec) -> DataFrame:
+    """Sums, counts and maxima per (keys, day), for the days that feed a target day."""
     return _day_partials(df, keys, ["is_finish", *_WATCHED, *spec.rolling_actions], _WATCHED, spec)
 
 
 def rolling_stats(df: DataFrame, keys: Sequence[str], spec: FeatureSpec) -> DataFrame:
     """16 measures per (keys, target day) over watch signals and actions."""
-    partials = _rolling_partials(df, keys, spec).repartition(*keys)
-    fanned = explode_target_days(partials, spec)
+    return rolling_stats_of_partials(rolling_day_partials(df, keys, spec), keys, spec)
+
+
+def rolling_stats_of_partials(partials: DataFrame, keys: Sequence[str], spec: FeatureSpec) -> DataFrame:
+    """The same from ``rolling_day_partials``, of which only the days that feed a target are used."""
+    fanned = explode_target_days(partials.repartition(*keys), spec)
     return fanned.groupBy(*keys, spec.day).agg(*map(F.expr, _rolling_measures(keys, spec)))
 
 
+def _range_frame(keys: Sequence[str], spec: FeatureSpec) -> str:
+    return (
+        f" OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{spec.day}`"
+        f" RANGE BETWEEN {spec.n_day} PRECEDING AND 1 PRECEDING)"
+    )
+
+
+def rolling_stats_as_of(history: DataFrame, probes: DataFrame, keys: Sequence[str],
+                        spec: FeatureSpec) -> DataFrame:
+    """The 16 measures for the (keys, day) combinations of ``probes`` only, as of that day.
+
+    ``history`` holds the rows that are counted, ``probes`` the days that are asked for; each
+    is reduced to one row per key and day in the same exchange. Nothing is fanned out: a
+    range frame over a key's days sees the days before each probe. A key has at most one row
+    per day, so a hot key is no large window group. A probe without a row in its window gives
+    no row, and neither does a day beyond the target days.
+    """
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    columns = ["is_finish", *_WATCHED, *spec.rolling_actions]
+    counted = history.filter(_feeds_a_target(spec) & known).select(
+        *keys, spec.day, *columns, F.lit(1).alias("_counted"))
+    asked = probes.filter(F.col(spec.day).between(spec.first_target, spec.last_day) & known).select(
+        *keys, spec.day, F.lit(1).alias("_asked"))
+    measures = ["count(_counted) AS _rows", "max(_asked) AS _asked"]
+    measures += [m for c in columns for m in (f"sum(`{c}`) AS `_s_{c}`", f"count(`{c}`) AS `_n_{c}`")]
+    measures += [f"max(`{c}`) AS `_m_{c}`" for c in _WATCHED]
+    days = counted.unionByName(asked, allowMissingColumns=True).groupBy(*keys, spec.day).agg(*map(F.expr, measures))
+    return (
+        days.selectExpr(*keys, spec.day, "_asked", *_rolling_measures(keys, spec, _range_frame(keys, spec)))
+        .filter(F.col("_asked").isNotNull() & (F.col(f"{rolling_prefix(keys, spec)}_count") > 0))
+        .drop("_asked")
+    )
+
+
 def rolling_stats_rangeframe(df: DataFrame, keys: Sequence[str], spec: FeatureSpec) -> DataFrame:
     """The same measures as a range frame, for days on which the key is active itself.
 
     Enough to look features up for log rows. The frame runs over day partials, at most
     one row per key and day, so no key makes a large window group.
     """
-    frame = (
-        f" OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{spec.day}`"
-        f" RANGE BETWEEN {spec.n_day} PRECEDING AND 1 PRECEDING)"
-    )
+    frame = _range_frame(keys, spec)
     known = F.lit(True)
     for key in keys:
         known = known & F.col(key).isNotNull()
     last_rows = df.filter((F.col(spec.day) == spec.last_day) & known).select(*keys, spec.day).distinct()
-    days = _rolling_partials(df, keys, spec).unionByName(last_rows, allowMissingColumns=True)
+    days = rolling_day_partials(df, keys, spec).unionByName(last_rows, allowMissingColumns=True)
     return (
         days.selectExpr(*keys, spec.day, *_rolling_measures(keys, spec, frame))
         .filter(F.col(f"{rolling_prefix(keys, spec)}_count").isNotNull()

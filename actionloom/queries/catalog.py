@@ -19,6 +19,7 @@ from actionloom.operators import assemble as A
 from actionloom.operators import encode, evaluate, globals_, models, reduce, sampling, tokens, windows
 from actionloom.plans import training
 from actionloom.plans.feature_build import build_features
+from actionloom.plans.window_store import WindowStore
 from actionloom.session import shared_dir, stored, tune
 from actionloom.sources import tables as S
 from actionloom.sources.bindings import EVENTS_SPEC, ORDERS_SPEC, VECTOR_LENGTH, Tables
@@ -239,6 +240,42 @@ def attach_rolling(t: Tables) -> DataFrame:
     return rounded(A.attach_rolling(rows, history, ROLLING_KEY_SETS, SPEC))
 
 
+#: Days that the incremental queries add one by one, after all days before them at once.
+LAST_DAYS = 4
+
+
+def _window_store(t: Tables, rolling: Sequence[Sequence[str]] = ()) -> WindowStore:
+    store = WindowStore(t.spark, f"{shared_dir(t.spark)}/windows-{uuid.uuid4().hex}", SPEC, t.items(), rolling)
+    log = t.watched() if rolling else t.interactions()
+    first = SPEC.last_day - LAST_DAYS
+    store.add(log.filter(F.col("date_") < first))
+    for day in range(first, SPEC.last_day + 1):
+        store.add(log.filter(F.col("date_") == day))
+    return store
+
+
+@query
+def incremental_user_window_stats(t: Tables) -> DataFrame:
+    return rounded(_window_store(t).user_stats())
+
+
+@query
+def incremental_item_window_stats(t: Tables) -> DataFrame:
+    return rounded(_window_store(t).item_stats())
+
+
+@query
+def incremental_rolling_stats_author(t: Tables) -> DataFrame:
+    return rounded(_window_store(t, [("authorid",)]).rolling_stats(("authorid",)))
+
+
+@query
+def rolling_stats_as_of(t: Tables) -> DataFrame:
+    """Statistics of (user, author) for the days on which the pair has rows, from one sort."""
+    log = t.watched()
+    return rounded(windows.rolling_stats_as_of(log, log, ["userid", "authorid"], SPEC))
+
+
 @partial(query, name="watch_signals")
 def watch_signals_rows(t: Tables) -> DataFrame:
     return rounded(t.watched().select("event_id", "videoplayseconds", "is_finish", "play_times"))

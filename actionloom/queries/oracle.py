@@ -755,4 +755,11 @@ def oracle_sql() -> dict[str, str]:
             ["watched", "targets"],
             f"SELECT {cols}, s.date_, {_rolling_outputs(keys)} FROM ({_rolling(keys)}) s",
         )
+    # Built day by day or at once, the statistics are the same.
+    out["incremental_user_window_stats"] = out["user_window_stats"]
+    out["incremental_item_window_stats"] = out["item_window_stats"]
+    out["incremental_rolling_stats_author"] = out["rolling_stats_author"]
+    out["rolling_stats_as_of"] = (
+        out["rolling_stats_user_author"]
+        + " SEMI JOIN watched a ON a.userid = s.userid AND a.authorid = s.authorid AND a.date_ = s.date_")
     return out
