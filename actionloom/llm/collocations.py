@@ -45,7 +45,7 @@ ABSORBED = 80
 SCORE_SCALE = 2_000_000
 UNKNOWN = "und"
 #: Bytes of text in a chunk, unless one text has more.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Partial counts that are added up together.
 FAN_IN = 32
 #: Side of the first tile; the next begins where it ends and each further one is twice as wide.
