@@ -7,16 +7,20 @@ folds only submit them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.ml.classification import FMClassifier, GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml.classification import (
+    FMClassifier, GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier,
+)
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actionloom.operators.evaluate import group_auc
 from actionloom.spec import SAMPLE_SEED, FeatureSpec
 
 Fit = Callable[[DataFrame, str], Model]
@@ -78,20 +82,92 @@ def best_length(losses: Sequence[float], patience: int) -> int:
     return best + 1
 
 
+def leaf_values(model: Model) -> list[list[float]]:
+    """Per tree, what each leaf adds to the margin; leaves are numbered from left to right."""
+    def leaves(node) -> list[float]:
+        found, waiting = [], [node]
+        while waiting:
+            at = waiting.pop()
+            if at.subtreeDepth():
+                waiting += [at.rightChild(), at.leftChild()]
+            else:
+                found.append(at.prediction())
+        return found
+
+    return [[w * v for v in leaves(tree.rootNode())] for tree, w in zip(model._java_obj.trees(), model.treeWeights)]
+
+
+def prefix_margins(model: Model, df: DataFrame, lengths: Sequence[int], out: str = "margins") -> DataFrame:
+    """Add the margins that the first ``lengths`` trees give, as one array.
+
+    The model tells each row's leaf in every tree, all trees in one pass; the margins are
+    sums of the leaves' values. ``lengths`` ascend; their number is the length of the array.
+    """
+    values = "array(" + ", ".join(
+        "array(" + ", ".join(f"{v!r}D" for v in tree) + ")" for tree in leaf_values(model)) + ")"
+    leaves = model.transform(df, {model.leafCol: "_leaves"}).withColumn("_leaves", vector_to_array("_leaves"))
+    added = F.expr(f"transform(_leaves, (leaf, tree) -> get(get({values}, tree), cast(leaf AS int)))")
+    cuts = list(zip([0, *lengths], lengths))
+    steps = "array(" + ", ".join(
+        f"aggregate(slice(_added, {a + 1}, {b - a}), 0D, (x, y) -> x + y)" for a, b in cuts) + ")"
+    running = f"aggregate({steps}, array(0D), (sums, x) -> array_append(sums, element_at(sums, -1) + x))"
+    return leaves.withColumn("_added", added).withColumn(out, F.expr(f"slice({running}, 2, {len(cuts)})")).drop(
+        "_leaves", "_added", "rawPrediction", "probability", "prediction")
+
+
+def prefix_uauc(model: Model, df: DataFrame, label: str, user: str = "userid",
+                lengths: Sequence[int] | None = None) -> DataFrame:
+    """(trees, users, uauc): mean per-user AUC of the first so many trees, all in one pass.
+
+    Margins rank rows as probabilities do. ``lengths`` defaults to every number of trees.
+    """
+    lengths = list(lengths) if lengths is not None else list(range(1, model.getNumTrees + 1))
+    margins = prefix_margins(model, df.select(user, label, model.getFeaturesCol()), lengths)
+    trees = F.array(*[F.lit(n) for n in lengths])
+    long = margins.select(
+        user, F.col(label).cast("int").alias("label"),
+        F.inline(F.zip_with(trees, "margins", lambda n, m: F.struct(n.alias("trees"), m.alias("score")))))
+    per_user = group_auc(long, [user, "trees"], decimals=None)
+    return per_user.groupBy("trees").agg(F.count("auc").alias("users"), F.avg("auc").alias("uauc"))
+
+
+def first_trees(model: Model, n: int) -> Model:
+    """The model of the first ``n`` trees; nothing is fitted again."""
+    context = SparkSession.active().sparkContext
+    ml, new_array = context._jvm.org.apache.spark.ml, context._gateway.new_array
+    trees = new_array(ml.regression.DecisionTreeRegressionModel, n)
+    weights = new_array(context._jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(list(model._java_obj.trees())[:n], model.treeWeights)):
+        trees[i], weights[i] = tree, weight
+    java = ml.classification.GBTClassificationModel(model.uid, trees, weights)
+    return model._copyValues(GBTClassificationModel(java))
+
+
 def fit_gbt_early_stop(train: DataFrame, label: str, spec: FeatureSpec, max_iter: int = 100,
-                       patience: int = 20, **params) -> tuple[Model, int]:
+                       patience: int = 20, measure: str = "uauc", every: int = 1, **params) -> tuple[Model, int]:
     """(boosted trees of the days before validation, rounds), with the rounds that served
     the validation day best; single rounds without a gain do not end the search.
 
-    One fit of ``max_iter`` trees, one pass of the validation day for the losses of all
-    lengths, and a fit of the best length.
+    ``measure`` is "uauc", the mean AUC of a user, or "logloss". One fit of ``max_iter``
+    trees, one pass of the validation day for all lengths that are multiples of ``every``, and
+    the model's first trees. Without a user of both classes on that day no length is better
+    than another, and one step is kept.
     """
     rows = _labelled(train, label)
-    earlier = rows.filter(F.col(spec.day) != spec.validation_day)
     validation = rows.filter(F.col(spec.day) == spec.validation_day)
-    longest = _gbt(max_iter, **params).fit(earlier)
-    rounds = best_length(longest.evaluateEachIteration(validation), patience)
-    return (longest if rounds == max_iter else _gbt(rounds, **params).fit(earlier)), rounds
+    longest = _gbt(max_iter, **params).fit(rows.filter(F.col(spec.day) != spec.validation_day))
+    grown = longest.getNumTrees
+    if measure == "logloss":
+        lengths = list(range(1, grown + 1))
+        losses = longest.evaluateEachIteration(validation)
+    elif measure == "uauc":
+        lengths = [*range(every, grown, every), grown]
+        found = {r["trees"]: r["uauc"] for r in prefix_uauc(longest, validation, label, spec.user, lengths).collect()}
+        losses = [math.inf if found.get(n) is None else -found[n] for n in lengths]
+    else:
+        raise ValueError("measure must be uauc or logloss")
+    rounds = lengths[best_length(losses, max(1, patience // every) if measure == "uauc" else patience) - 1]
+    return (longest if rounds == grown else first_trees(longest, rounds)), rounds
 
 
 def fit_gbt(train: DataFrame, label: str, max_iter: int, **params) -> Model:

@@ -3,28 +3,25 @@
 Three ways, by what is known about the values:
 
 * hashes are uniform, so their leading digits are equal slices of the rows;
-* numeric columns get cut points from a quantile sketch. The sketch only decides how
-  small the slice around a wanted rank is: ranks are counted exactly, so the answer does
-  not depend on the sketch's error;
+* numbers are taken digit by digit: counts of the leading 16 bits tell which of them a
+  wanted rank begins with, then the next 16 bits, and so on to the value itself;
 * distinct values of any kind are range-partitioned and written out once, and the
   position inside a partition is shifted by the rows of the partitions before it.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from actionloom.session import stored
+from actionloom.session import discard, stored
 
-_SKETCH_GROUPS = 256
-_SKETCH_ACCURACY = 10000
-_SKETCH_GRID = 200
-_BRACKET = 0.01
-_PARTS = 1024
+#: The least double that is not subnormal.
+_LEAST_NORMAL = 2.0 ** -1022
 
 
 def hash_order(id_column: str | Sequence[str], seed: int) -> Column:
@@ -147,120 +144,102 @@ def ordered_codes(values: DataFrame, column: str, code: str = "code") -> DataFra
     )
 
 
-def unpivot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value) with one row per non-null value."""
-    entries = ", ".join(
-        f"struct('{c}' AS `column`, cast({_quoted(c)} AS double) AS value)" for c in columns
-    )
-    return df.select(F.expr(f"inline(array({entries}))")).filter("value IS NOT NULL AND NOT isnan(value)")
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _bracket_cuts(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float]]:
-    """Per column: sorted cut points a little below and above every share.
+def ordered_image(df: DataFrame, value: str = "value", image: str = "image") -> DataFrame:
+    """Replace a double by its bits as a long that is ordered as the double is.
 
-    Map tasks send their sketches to a few hundred groups, not to one task; the quantiles
-    of the groups' quantiles are the cut points.
+    Exponent and fraction are taken apart by exact scalings with powers of two; the logarithm
+    may miss the exponent by one, which a comparison mends. Zeros of both signs are equal, and
+    NaN must not occur.
     """
-    sketch = lambda at: F.expr(
-        f"percentile_approx(value, array({', '.join(f'{p!r}D' for p in at)}), {_SKETCH_ACCURACY})"
-    )
-    grid = [i / _SKETCH_GRID for i in range(_SKETCH_GRID + 1)]
-    around = sorted({min(max(p + side * _BRACKET, 0.0), 1.0) for p in shares for side in (-1, 1)})
-    grouped = (
-        unpivot(df, columns)
-        .withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)))
-        .groupBy("column", "_group")
-        .agg(sketch(grid).alias("_grid"))
-    )
-    cuts = (
-        grouped.select("column", F.explode("_grid").alias("value"))
-        .groupBy("column")
-        .agg(sketch(around).alias("cuts"))
-    )
-    # Two numbers per column and share.
-    return {r["column"]: sorted(set(r["cuts"])) for r in cuts.collect()}
+    others = [c for c in df.columns if c != value]
+    size, normal = f"abs({value})", f"abs({value}) >= {_LEAST_NORMAL!r}D AND abs({value}) < double('Infinity')"
+    staged = df.selectExpr(*others, value, f"CASE WHEN {normal} THEN {size} ELSE 1D END AS _size").selectExpr(
+        "*", "cast(least(greatest(floor(log2(_size)), -1022L), 1023L) AS int) AS _guess").selectExpr(
+        "*", "_size / power(2D, _guess) AS _scaled").selectExpr(
+        "*", "_guess + CASE WHEN _scaled >= 2D THEN 1 WHEN _scaled < 1D THEN -1 ELSE 0 END AS _power").selectExpr(
+        "*", "cast((_size / power(2D, _power) - 1D) * power(2D, 52D) AS bigint) AS _fraction",
+        f"cast(least({size}, {_LEAST_NORMAL!r}D) * power(2D, 537D) * power(2D, 537D) AS bigint) AS _subnormal")
+    bits = (
+        f"CASE WHEN {size} = double('Infinity') THEN {2047 << 52}L WHEN {size} < {_LEAST_NORMAL!r}D THEN _subnormal"
+        " ELSE shiftleft(cast(_power + 1023 AS bigint), 52) + _fraction END")
+    return staged.selectExpr(*others, value, f"{bits} AS _bits").selectExpr(
+        *others, f"CASE WHEN {value} < 0D THEN -1L - _bits ELSE _bits END AS {image}")
 
 
-def _slice_of(column: str, cuts: Sequence[float]) -> str:
-    """SQL for a number that grows with the value: the interval between two cut points,
-    and an equal-width part of it."""
-    value = f"cast({_quoted(column)} AS double)"
-    cases = [f"WHEN {value} <= {cuts[0]!r}D THEN 0L"]
-    for i, (low, high) in enumerate(zip(cuts, cuts[1:]), start=1):
-        scale = _PARTS / (high - low)
-        cases.append(
-            f"WHEN {value} <= {high!r}D THEN {i * _PARTS}L"
-            f" + least(floor(({value} - {low!r}D) * {scale!r}D), {_PARTS - 1}L)"
-        )
-    return f"CASE {' '.join(cases)} ELSE {len(cuts) * _PARTS}L END"
+def _of_image(image: int) -> float:
+    """The double with that image."""
+    size = struct.unpack("<d", struct.pack("<q", image if image >= 0 else -1 - image))[0]
+    return size if image >= 0 else -size
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+def _digit(level: int) -> Column:
+    """The first ``level`` digits of 16 bits of an image, as a signed number."""
+    return F.shiftright(F.col("image"), 64 - 16 * level)
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str],
                     shares: Mapping[str, float]) -> dict[str, dict[str, float | None]]:
     """Per column and named share: the linearly interpolated quantile, exact.
 
-    Like any fit it runs at once: one pass for the sketch, one to count rows per slice,
-    one for the slices that hold a wanted rank. No pass shuffles the values, and only the
-    wanted numbers reach the driver. Equal values are counted together before they are
-    ordered, so a value that fills a third of the column is one row.
+    Radix selection: values become 64-bit numbers of the same order, and the digit of 16 bits
+    that a wanted rank falls into is found from counts, four times. The input is read twice:
+    for the first digits, and for the values that share one with a wanted rank, which are
+    stored with their counts. Nothing is sorted or sketched, a hot value is one row, and a
+    window runs over 65,536 counts at most. Like any fit it runs at once; the wanted numbers
+    and their places reach the driver.
     """
-    cuts = _bracket_cuts(df, columns, list(shares.values()))
-    known = [c for c in columns if c in cuts]
-    quantiles: dict[str, dict[str, float | None]] = {c: dict.fromkeys(shares) for c in columns}
-    if not known:
-        return quantiles
-    # One SQL text instead of a few hundred column objects. Columns go by their number.
     entries = ", ".join(
-        f"struct({i} AS `column`, cast({_quoted(c)} AS double) AS value, {_slice_of(c, cuts[c])} AS _slice)"
-        for i, c in enumerate(known)
-    )
-    sliced = df.select(F.expr(f"inline(array({entries}))")).filter("value IS NOT NULL AND NOT isnan(value)")
+        f"struct({i} AS `column`, cast({_quoted(c)} AS double) AS value)" for i, c in enumerate(columns))
+    values = df.select(F.expr(f"inline(array({entries}))")).filter("value IS NOT NULL AND NOT isnan(value)")
+    images = ordered_image(values)
+    quantiles: dict[str, dict[str, float | None]] = {c: dict.fromkeys(shares) for c in columns}
+
+    counts = images.groupBy("column", _digit(1).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
     by_column = W.partitionBy("column")
-    placed = (
-        sliced.groupBy("column", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("n", F.sum("_n").over(by_column))
-        .withColumn("_upto", F.sum("_n").over(by_column.orderBy("_slice")))
-    )
-    position = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    places = counts.withColumn("upto", F.sum("n").over(by_column.orderBy("digit"))).withColumn(
+        "rows", F.sum("n").over(by_column))
+    position = lambda p: (F.col("rows") - 1) * F.lit(float(p))
     wanted = F.array(*[
-        F.struct(
-            F.lit(name).alias("_name"),
-            (position(p) - F.floor(position(p))).alias("_fraction"),
-            F.lit(edge).alias("_edge"),
-            (rank(position(p)).cast("long") + 1).alias("_rank"),
-        )
-        for name, p in shares.items()
-        for edge, rank in (("low", F.floor), ("high", F.ceil))
+        F.struct(F.lit(name).alias("name"), F.lit(edge).alias("edge"),
+                 (position(p) - F.floor(position(p))).alias("fraction"), (rank(position(p)).cast("long") + 1).alias("rank"))
+        for name, p in shares.items() for edge, rank in (("low", F.floor), ("high", F.ceil))
     ])
-    holders = placed.select("column", "_slice", "_n", "_upto", F.inline(wanted)).filter(
-        (F.col("_rank") > F.col("_upto") - F.col("_n")) & (F.col("_rank") <= F.col("_upto"))
-    ).withColumn("_place", F.col("_rank") - F.col("_upto") + F.col("_n")).collect()
-
-    in_slice = {(h["column"], h["_slice"]) for h in holders}
-    held = " OR ".join(f"(`column` = {c} AND _slice = {s})" for c, s in sorted(in_slice))
-    values = sliced.filter(held).groupBy("column", "_slice", "value").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(W.partitionBy("column", "_slice").orderBy("value"))
-    places = {(h["column"], h["_slice"], h["_place"]) for h in holders}
-    hit = " OR ".join(
-        f"(`column` = {c} AND _slice = {s} AND _upto >= {place} AND _upto - _n < {place})"
-        for c, s, place in sorted(places)
-    )
-    hits = values.withColumn("_upto", upto).filter(hit).collect()
-
-    def value_at(h) -> float:
-        return next(
-            v["value"] for v in hits
-            if v["column"] == h["column"] and v["_slice"] == h["_slice"]
-            and v["_upto"] - v["_n"] < h["_place"] <= v["_upto"]
-        )
-
-    edges = {(h["column"], h["_name"], h["_edge"]): (value_at(h), h["_fraction"]) for h in holders}
-    for i, c in enumerate(known):
+    inside = lambda place: (F.col(place) > F.col("upto") - F.col("n")) & (F.col(place) <= F.col("upto"))
+    first = places.select("column", "digit", "n", "upto", F.inline(wanted)).filter(inside("rank")).select(
+        "column", "digit", "name", "edge", "fraction", (F.col("rank") - F.col("upto") + F.col("n")).alias("place")).collect()
+    if not first:
+        return quantiles
+    fraction = {(r["column"], r["name"]): r["fraction"] for r in first}
+    # The digits so far and the place among the values that begin with them, for each wanted rank.
+    at = {(r["column"], r["name"], r["edge"]): (r["digit"], r["place"]) for r in first}
+
+    def begins(level: int) -> str:
+        """SQL for the values that a wanted rank can still be."""
+        found = sorted({(c, digit) for (c, _, _), (digit, _) in at.items()})
+        return " OR ".join(f"(`column` = {c} AND shiftright(image, {64 - 16 * level}) = {digit}L)" for c, digit in found)
+
+    kept = stored(images.filter(begins(1)).groupBy("column", "image").agg(F.count(F.lit(1)).alias("n")))
+    for level in (2, 3, 4):
+        counts = kept.filter(begins(level - 1)).groupBy(
+            "column", _digit(level - 1).alias("begin"), _digit(level).alias("digit")).agg(F.sum("n").alias("n"))
+        within = W.partitionBy("column", "begin").orderBy("digit")
+        asked = sorted({(c, digit, place) for (c, _, _), (digit, place) in at.items()})
+        hits = " OR ".join(
+            f"(`column` = {c} AND begin = {digit}L AND upto >= {place} AND upto - n < {place})" for c, digit, place in asked)
+        rows = counts.withColumn("upto", F.sum("n").over(within)).filter(hits).collect()
+        at = {
+            key: next((r["digit"], place - r["upto"] + r["n"]) for r in rows
+                      if r["column"] == key[0] and r["begin"] == begin and r["upto"] - r["n"] < place <= r["upto"])
+            for key, (begin, place) in at.items()
+        }
+    discard(kept)
+    for i, c in enumerate(columns):
         for name in shares:
-            (low, fraction), (high, _) = edges[i, name, "low"], edges[i, name, "high"]
-            quantiles[c][name] = low if low == high else low + (high - low) * fraction
+            if (i, name) in fraction:
+                low, high = _of_image(at[i, name, "low"][0]), _of_image(at[i, name, "high"][0])
+                quantiles[c][name] = low if low == high else low + (high - low) * fraction[i, name]
     return quantiles

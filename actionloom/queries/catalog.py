@@ -461,12 +461,12 @@ def label_encode_string(t: Tables) -> DataFrame:
 
 @query
 def robust_scale(t: Tables) -> DataFrame:
-    return rounded(encode.robust_scale(t.watched().select("event_id", *SCALED), SCALED))
+    return rounded(encode.robust_scale(stored(t.watched().select("event_id", *SCALED)), SCALED))
 
 
 @query
 def winsor_minmax(t: Tables) -> DataFrame:
-    return rounded(encode.winsor_minmax(t.watched().select("event_id", *SCALED), SCALED))
+    return rounded(encode.winsor_minmax(stored(t.watched().select("event_id", *SCALED)), SCALED))
 
 
 @query
@@ -655,6 +655,26 @@ def gbt_early_stop_refit(t: Tables) -> DataFrame:
     return done.submission
 
 
+#: Rounds of the query that shows how the validation score moves with the number of trees.
+CURVE_ROUNDS, CURVE_LEAST = 12, 0.6
+
+
+@query
+def gbt_prefix_uauc(t: Tables) -> DataFrame:
+    """Per number of trees: the users that count, and whether their mean AUC shows the signal.
+
+    Whether a view is finished follows from the watch time, which is among the features.
+    """
+    columns = ["play", "stay", "device"]
+    rows = models.dense_features(t.watched().select("userid", "date_", "is_finish", *columns).fillna(0, subset=columns), columns)
+    rows = stored(rows.select("userid", "date_", "is_finish", "features"))
+    earlier, validation = A.split_by_day(rows, SPEC)
+    model = models.fit_gbt(earlier, "is_finish", CURVE_ROUNDS, **_TREES)
+    curve = models.prefix_uauc(model, validation, "is_finish")
+    return curve.select("trees", "users", (F.col("uauc") > CURVE_LEAST).alias("signal"),
+                        F.col("uauc").between(0, 1).alias("in_range"))
+
+
 @query
 def gbt_weighted(t: Tables) -> DataFrame:
     done = training.train_staged_gbt(t.train(), t.scoring(), t.items(), SPEC, "online", _ROUNDS, **_TREES)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from actionloom.queries.catalog import (
-    FOLDS, NARROWED, NUNIQUE_PAIRS, PROFILED, ROLLING_QUERIES, SCALED, SPEC, TIE_SHIFT,
+    CURVE_ROUNDS, FOLDS, NARROWED, NUNIQUE_PAIRS, PROFILED, ROLLING_QUERIES, SCALED, SPEC, TIE_SHIFT,
 )
 from actionloom.sources.bindings import ORDERS_SPEC, PREDICTION_SCALE, VECTOR_LENGTH
 from actionloom.spec import (
@@ -762,4 +762,9 @@ def oracle_sql() -> dict[str, str]:
     out["rolling_stats_as_of"] = (
         out["rolling_stats_user_author"]
         + " SEMI JOIN watched a ON a.userid = s.userid AND a.authorid = s.authorid AND a.date_ = s.date_")
+    out["gbt_prefix_uauc"] = _sql(
+        ["watched"],
+        f"SELECT cast(t AS int) AS trees, users, true AS signal, true AS in_range FROM range(1, {CURVE_ROUNDS + 1}) r(t), ("
+        "SELECT count(*) AS users FROM (SELECT userid FROM watched "
+        f"WHERE date_ = {LAST - 1} GROUP BY userid HAVING min(is_finish) = 0 AND max(is_finish) = 1))")
     return out

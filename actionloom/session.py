@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 
 _SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -77,6 +78,13 @@ def stored(df: DataFrame, *partitioned_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, measures: Mapping[str, Column], *partitioned_by: str) -> tuple[DataFrame, Row]:
+    """``stored``, and aggregates over the rows taken while they are written: no pass of their own."""
+    seen = Observation()
+    kept = stored(df.observe(seen, *[c.alias(name) for name, c in measures.items()]), *partitioned_by)
+    return kept, Row(**seen.get)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files behind frames made by ``stored``; they can't be read afterwards."""
     for df in frames:

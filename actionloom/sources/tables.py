@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actionloom.functions.signals import null_if_nan
-from actionloom.operators.ordering import exact_quantiles, unpivot
-from actionloom.operators.tokens import vocab_sizes
+from actionloom.operators.ordering import exact_quantiles
+from actionloom.session import discard, stored_with
 
 INTERACTION_SCHEMA = T.StructType(
     [T.StructField(c, T.LongType()) for c in ("userid", "feedid")]
@@ -118,24 +118,31 @@ def sources_ready(report: DataFrame) -> bool:
 def profile(df: DataFrame, columns: Sequence[str], id_columns: Sequence[str] = ()) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max, n_distinct).
 
-    Quartiles are exact and interpolated; ``n_distinct`` is filled for the id columns.
+    Quartiles are exact and interpolated; ``n_distinct`` is filled for the id columns. The
+    named columns are stored once, however the input is made; counts and moments are taken
+    while they are written. A column without values gives no row.
     """
-    values = unpivot(df, columns)
-    moments = values.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    quartile = lambda name: F.coalesce(*[
-        F.when(F.col("column") == c, F.lit(q[name]).cast("double")) for c, q in quartiles.items()
-    ])
-    out = moments.withColumns({name: quartile(name) for name in ("q25", "q50", "q75")})
+    used = list(dict.fromkeys([*columns, *id_columns]))
+    number = {c: F.col(c).cast("double") for c in columns}
+    known = {c: F.when(~F.isnan(x), x) for c, x in number.items()}
+    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    kept, seen = stored_with(df.select(*used), {
+        f"{name}:{i}": measure(x) for i, x in enumerate(known.values()) for name, measure in moments.items()})
+    quartiles = exact_quantiles(kept, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    distinct = {}
     if id_columns:
-        distinct = vocab_sizes(df, id_columns=id_columns).select("column", "n_distinct")
-        out = out.join(distinct, "column", "left")
-    else:
-        out = out.withColumn("n_distinct", F.lit(None).cast("long"))
-    return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max", "n_distinct")
+        counts = kept.agg(*[F.count_distinct(F.col(c)).alias(c) for c in id_columns]).first()
+        distinct = counts.asDict()
+    discard(kept)
+    names = ("count", "mean", "std", "min", "q25", "q50", "q75", "max", "n_distinct")
+    rows = []
+    for i, c in enumerate(columns):
+        one = {name: seen[f"{name}:{i}"] for name in moments} | quartiles[c] | {"n_distinct": distinct.get(c)}
+        if one["count"]:
+            rows.append((c, *[one[n] for n in names]))
+    return df.sparkSession.createDataFrame(
+        rows, "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, "
+        "max double, n_distinct long")
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("date_",),

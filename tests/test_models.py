@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,55 @@ def test_rolling_job(spark):
     rows = done.submission.collect()
     assert len(rows) == t.scoring().count() and all(0 <= r["like"] <= 1 for r in rows)
     assert done.per_action.first()["users"] > 0
+
+
+def test_prefix_margins_against_shorter_models(planted):
+    """Every prefix gives the margins and the uauc of the model that has these trees only."""
+    model = models.fit_gbt(planted, "like", 7, **SMALL)
+    lengths = [1, 2, 4, 7]
+    margins = {r["event_id"]: r["margins"] for r in models.prefix_margins(model, planted, lengths).collect()}
+    quality_of = {r["trees"]: r for r in models.prefix_uauc(model, planted, "like", lengths=lengths).collect()}
+    assert sorted(quality_of) == lengths
+    for i, n in enumerate(lengths):
+        shorter = models.first_trees(model, n)
+        assert shorter.getNumTrees == n
+        scored = models.predict(shorter, planted, "p").select("event_id", "userid", "like", "p").collect()
+        for r in scored:
+            assert r["p"] == pytest.approx(1 / (1 + math.exp(-2 * margins[r["event_id"]][i])), abs=1e-12)
+        aucs = []
+        for user in {r["userid"] for r in scored}:
+            pos = [margins[r["event_id"]][i] for r in scored if r["userid"] == user and r["like"] == 1]
+            neg = [margins[r["event_id"]][i] for r in scored if r["userid"] == user and r["like"] == 0]
+            if pos and neg:
+                aucs.append(sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg))
+        assert quality_of[n]["users"] == len(aucs)
+        assert quality_of[n]["uauc"] == pytest.approx(sum(aucs) / len(aucs), abs=1e-12)
+
+
+def test_patience_binds_on_uauc(planted):
+    """With more rounds than useful the search ends before the last, at the best round so far."""
+    stopped, rounds = models.fit_gbt_early_stop(planted, "like", SPEC, 30, patience=3, **SMALL)
+    validation = planted.filter(F.col("date_") == SPEC.validation_day)
+    longest = models._gbt(30, **SMALL).fit(models._labelled(planted, "like").filter(F.col("date_") != SPEC.validation_day))
+    curve = {r["trees"]: r["uauc"] for r in models.prefix_uauc(longest, validation, "like").collect()}
+    assert stopped.getNumTrees == rounds < 30
+    assert all(curve[n] <= curve[rounds] for n in range(1, min(30, rounds + 3) + 1))
+    coarse, steps = models.fit_gbt_early_stop(planted, "like", SPEC, 30, patience=10, every=5, **SMALL)
+    assert coarse.getNumTrees == steps and steps % 5 == 0
+
+
+def test_early_stop_without_both_classes(planted):
+    one_class = planted.withColumn("like", F.when(F.col("date_") == SPEC.validation_day, 0).otherwise(F.col("like")))
+    _, rounds = models.fit_gbt_early_stop(one_class, "like", SPEC, 4, **SMALL)
+    assert rounds == 1
+    _, rounds = models.fit_gbt_early_stop(planted, "like", SPEC, 4, measure="logloss", **SMALL)
+    assert 1 <= rounds <= 4
+    with pytest.raises(ValueError):
+        models.fit_gbt_early_stop(planted, "like", SPEC, 4, measure="guess", **SMALL)
+
+
+def test_shorter_model_keeps_its_columns(planted):
+    model = models.fit_gbt(planted.withColumnRenamed("features", "inputs"), "like", 3, featuresCol="inputs", **SMALL)
+    shorter = models.first_trees(model, 2)
+    assert shorter.getFeaturesCol() == "inputs"
+    assert models.predict(shorter, planted.withColumnRenamed("features", "inputs"), "p").count() == planted.count()

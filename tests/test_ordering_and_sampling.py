@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from actionloom.operators import encode, sampling
+from actionloom.operators import encode, ordering, sampling
 from actionloom.operators.ordering import exact_quantiles, ordered_codes, sliced_rank
 
 
@@ -98,6 +98,46 @@ def test_quantiles_of_awkward_columns(spark):
             assert got[c][name] == pytest.approx(np.quantile(v, p), rel=1e-12)
 
 
+def test_images_are_ordered_bits(spark):
+    """Every double, also the least and the largest, against the bits themselves."""
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 2047 << 52, 4000, dtype=np.int64).view(np.float64)
+    edges = [0.0, 5e-324, 2.0 ** -1022, np.nextafter(2.0 ** -1022, 0), 1.7976931348623157e308, np.inf, 1.0, np.nextafter(1, 0),
+             np.nextafter(2, 0), 2.0, 2.0 ** 1023, np.nextafter(2.0 ** 1023, 0), 0.1, 3.0, 1e300]
+    powers = 2.0 ** np.arange(-1074, 1024)
+    sizes = np.concatenate([bits, edges, powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf)])
+    values = np.concatenate([sizes, -sizes])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, value double")
+    got = {r["i"]: r["image"] for r in ordering.ordered_image(df).collect()}
+    for i, v in enumerate(values):
+        size = int(np.abs(v).view(np.int64))
+        assert got[i] == (-1 - size if v < 0 else size), v
+        assert ordering._of_image(got[i]) == v
+
+
+def test_quantiles_count_at_most_one_digit_a_pass(spark, monkeypatch):
+    """One huge value and a share near 1: no pass hands more than the wanted places to the driver."""
+    seen = []
+    frame = type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    df = spark.range(20000).select(F.when(F.col("id") == 7, 1e300).otherwise(F.col("id") / 20000).alias("x"))
+    got = exact_quantiles(df, ["x"], {"a": 0.99999, "b": 0.5})
+    want = np.append(np.delete(np.arange(20000) / 20000, 7), 1e300)
+    assert got["x"]["a"] == pytest.approx(np.quantile(want, 0.99999), rel=1e-12)
+    assert got["x"]["b"] == pytest.approx(np.quantile(want, 0.5), rel=1e-12)
+    assert max(map(len, seen)) <= 4 and len(seen) == 4
+
+
+def test_quantiles_are_not_ordered_by_value(spark):
+    """A constant column is one stored row, whatever its length."""
+    df = spark.range(50000).select(F.lit(2.5).alias("x"))
+    assert exact_quantiles(df, ["x"], {"m": 0.5, "top": 1.0}) == {"x": {"m": 2.5, "top": 2.5}}
+    infinite = spark.createDataFrame([(float("-inf"),), (1.0,), (float("inf"),)], "x double")
+    assert exact_quantiles(infinite, ["x"], {"a": 0.0, "m": 0.5, "b": 1.0})["x"] == {
+        "a": float("-inf"), "m": 1.0, "b": float("inf")}
+
+
 def test_quantiles_of_sorted_and_empty_input(spark):
     df = spark.range(0, 5000, 1, 20).select(F.col("id").cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
     got = exact_quantiles(df, ["x", "y"], {"m": 0.5})
