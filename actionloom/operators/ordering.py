@@ -3,8 +3,8 @@
 Three ways, by what is known about the values:
 
 * hashes are uniform, so their leading digits are equal slices of the rows;
-* numbers are taken digit by digit: counts of the leading 16 bits tell which of them a
-  wanted rank begins with, then the next 16 bits, and so on to the value itself;
+* numbers are taken digit by digit: counts of coarse magnitudes tell which of them a
+  wanted rank falls into, then counts of 16 bits at a time lead to the value itself;
 * distinct values of any kind are range-partitioned and written out once, and the
   position inside a partition is shifted by the rows of the partitions before it.
 """
@@ -176,70 +176,86 @@ def _of_image(image: int) -> float:
     return size if image >= 0 else -size
 
 
+#: Parts of a factor of two that values are first told apart by, and more than the least exponent.
+_PARTS, _EXPONENTS = 16, 1100
+_MOST = _PARTS * _EXPONENTS
+
+
+def _magnitude(value: str) -> str:
+    """SQL for a small integer that never falls while the value grows: sign and coarse logarithm."""
+    size = f"least(cast(floor(log2(abs({value})) * {_PARTS}) AS bigint), {_MOST}L) + {_MOST}L"
+    return f"CASE WHEN {value} = 0D THEN 0L WHEN {value} < 0D THEN -1L - ({size}) ELSE 1L + ({size}) END"
+
+
 def _digit(level: int) -> Column:
     """The first ``level`` digits of 16 bits of an image, as a signed number."""
-    return F.shiftright(F.col("image"), 64 - 16 * level)
+    return F.shiftright("image", 64 - 16 * level) if level else F.lit(0).cast("long")
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str],
                     shares: Mapping[str, float]) -> dict[str, dict[str, float | None]]:
     """Per column and named share: the linearly interpolated quantile, exact.
 
-    Radix selection: values become 64-bit numbers of the same order, and the digit of 16 bits
-    that a wanted rank falls into is found from counts, four times. The input is read twice:
-    for the first digits, and for the values that share one with a wanted rank, which are
-    stored with their counts. Nothing is sorted or sketched, a hot value is one row, and a
-    window runs over 65,536 counts at most. Like any fit it runs at once; the wanted numbers
-    and their places reach the driver.
+    Radix selection. Counts of signs and coarse logarithms tell the magnitude that a wanted rank
+    falls into. The values of these magnitudes are stored with their counts, as 64-bit numbers
+    of the same order, and counts of 16 bits at a time lead to the value itself. The input is
+    read twice. Nothing is sorted or sketched, a hot value is one row, and a window runs over
+    some 65,536 counts at most. Like any fit it runs at once; the wanted numbers and their
+    places reach the driver.
     """
     entries = ", ".join(
         f"struct({i} AS `column`, cast({_quoted(c)} AS double) AS value)" for i, c in enumerate(columns))
     values = df.select(F.expr(f"inline(array({entries}))")).filter("value IS NOT NULL AND NOT isnan(value)")
-    images = ordered_image(values)
+    values = values.withColumn("magnitude", F.expr(_magnitude("value")))
     quantiles: dict[str, dict[str, float | None]] = {c: dict.fromkeys(shares) for c in columns}
 
-    counts = images.groupBy("column", _digit(1).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
     by_column = W.partitionBy("column")
-    places = counts.withColumn("upto", F.sum("n").over(by_column.orderBy("digit"))).withColumn(
-        "rows", F.sum("n").over(by_column))
+    places = values.groupBy("column", "magnitude").agg(F.count(F.lit(1)).alias("n")).withColumns({
+        "upto": F.sum("n").over(by_column.orderBy("magnitude")), "rows": F.sum("n").over(by_column)})
     position = lambda p: (F.col("rows") - 1) * F.lit(float(p))
     wanted = F.array(*[
         F.struct(F.lit(name).alias("name"), F.lit(edge).alias("edge"),
                  (position(p) - F.floor(position(p))).alias("fraction"), (rank(position(p)).cast("long") + 1).alias("rank"))
         for name, p in shares.items() for edge, rank in (("low", F.floor), ("high", F.ceil))
     ])
-    inside = lambda place: (F.col(place) > F.col("upto") - F.col("n")) & (F.col(place) <= F.col("upto"))
-    first = places.select("column", "digit", "n", "upto", F.inline(wanted)).filter(inside("rank")).select(
-        "column", "digit", "name", "edge", "fraction", (F.col("rank") - F.col("upto") + F.col("n")).alias("place")).collect()
+    first = places.select("column", "magnitude", "n", "upto", F.inline(wanted)).filter(
+        (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))).select(
+        "column", "magnitude", "name", "edge", "fraction",
+        (F.col("rank") - F.col("upto") + F.col("n")).alias("place")).collect()
     if not first:
         return quantiles
     fraction = {(r["column"], r["name"]): r["fraction"] for r in first}
-    # The digits so far and the place among the values that begin with them, for each wanted rank.
-    at = {(r["column"], r["name"], r["edge"]): (r["digit"], r["place"]) for r in first}
-
-    def begins(level: int) -> str:
-        """SQL for the values that a wanted rank can still be."""
-        found = sorted({(c, digit) for (c, _, _), (digit, _) in at.items()})
-        return " OR ".join(f"(`column` = {c} AND shiftright(image, {64 - 16 * level}) = {digit}L)" for c, digit in found)
-
-    kept = stored(images.filter(begins(1)).groupBy("column", "image").agg(F.count(F.lit(1)).alias("n")))
-    for level in (2, 3, 4):
-        counts = kept.filter(begins(level - 1)).groupBy(
-            "column", _digit(level - 1).alias("begin"), _digit(level).alias("digit")).agg(F.sum("n").alias("n"))
-        within = W.partitionBy("column", "begin").orderBy("digit")
-        asked = sorted({(c, digit, place) for (c, _, _), (digit, place) in at.items()})
+    # Per wanted rank: magnitude, the digits so far, the place among the values that begin so.
+    at = {(r["column"], r["name"], r["edge"]): (r["magnitude"], 0, r["place"]) for r in first}
+
+    held = [sorted({m for (c, _, _), (m, _, _) in at.items() if c == i}) for i in range(len(columns))]
+    listed = "array(" + ", ".join(
+        "array(" + ", ".join(f"{m}L" for m in ms) + ")" if ms else "cast(array() AS array<bigint>)" for ms in held) + ")"
+    # One mention of the magnitude, however many are wanted.
+    few = values.filter(f"array_contains(get({listed}, `column`), magnitude)").groupBy(
+        "column", "magnitude", "value").agg(F.count(F.lit(1)).alias("n"))
+    kept = stored(ordered_image(few))
+    for level in (1, 2, 3, 4):
+        begins = " OR ".join(
+            f"(`column` = {c} AND magnitude = {m}L AND begin = {begin}L)"
+            for c, m, begin in sorted({(c, m, begin) for (c, _, _), (m, begin, _) in at.items()}))
+        counts = kept.withColumns({"begin": _digit(level - 1), "digit": _digit(level)}).filter(begins).groupBy(
+            "column", "magnitude", "begin", "digit").agg(F.sum("n").alias("n"))
+        within = W.partitionBy("column", "magnitude", "begin").orderBy("digit")
         hits = " OR ".join(
-            f"(`column` = {c} AND begin = {digit}L AND upto >= {place} AND upto - n < {place})" for c, digit, place in asked)
+            f"(`column` = {c} AND magnitude = {m}L AND begin = {begin}L AND upto >= {place} AND upto - n < {place})"
+            for c, m, begin, place in sorted({(c, *found) for (c, _, _), found in at.items()}))
         rows = counts.withColumn("upto", F.sum("n").over(within)).filter(hits).collect()
         at = {
-            key: next((r["digit"], place - r["upto"] + r["n"]) for r in rows
-                      if r["column"] == key[0] and r["begin"] == begin and r["upto"] - r["n"] < place <= r["upto"])
-            for key, (begin, place) in at.items()
+            key: next((m, r["digit"], place - r["upto"] + r["n"]) for r in rows
+                      if (r["column"], r["magnitude"], r["begin"]) == (key[0], m, begin)
+                      and r["upto"] - r["n"] < place <= r["upto"])
+            for key, (m, begin, place) in at.items()
         }
     discard(kept)
     for i, c in enumerate(columns):
         for name in shares:
             if (i, name) in fraction:
-                low, high = _of_image(at[i, name, "low"][0]), _of_image(at[i, name, "high"][0])
+                low, high = _of_image(at[i, name, "low"][1]), _of_image(at[i, name, "high"][1])
                 quantiles[c][name] = low if low == high else low + (high - low) * fraction[i, name]
     return quantiles
