@@ -8,19 +8,25 @@ folds only submit them.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (
-    FMClassifier, GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier,
+    FMClassifier, GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
+    RandomForestClassifier,
 )
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actionloom.functions.vectors import sparse_struct, stored_vectors
 from actionloom.operators.evaluate import group_auc
+from actionloom.operators.ordering import ordered_codes
+from actionloom.operators.windows import attach
+from actionloom.session import stored
 from actionloom.spec import SAMPLE_SEED, FeatureSpec
 
 Fit = Callable[[DataFrame, str], Model]
@@ -59,6 +65,51 @@ def mixed_features(df: DataFrame, ids: Sequence[str], dense: Sequence[str], vect
     return assembled.drop("_hashed", *[f"_id_{c}" for c in ids], *[f"_vector_{c}" for c in vectors])
 
 
+@dataclass(frozen=True)
+class IdSlots:
+    """Where each id of each column stands: ``codes`` (value, code) per column, from the slot
+    ``first`` on, which is that of unknown ids; ``width`` slots altogether."""
+
+    codes: dict[str, DataFrame]
+    first: dict[str, int]
+    width: int
+
+
+def fit_id_slots(df: DataFrame, ids: Sequence[str]) -> IdSlots:
+    """A slot of its own for every id of every column, none shared. Counts reach the driver, ids do not."""
+    codes, first, width = {}, {}, 0
+    for c in ids:
+        codes[c] = stored(ordered_codes(df, c, "_code"))
+        first[c] = width
+        width += codes[c].count() + 1
+    return IdSlots(codes, first, width)
+
+
+def slot_features(df: DataFrame, slots: IdSlots, dense: Sequence[str] = (), vectors: Mapping[str, int] | None = None,
+                  out: str = "features") -> DataFrame:
+    """``df``, stored, with the ids as indicators next to dense columns and array columns.
+
+    ``vectors`` gives the width of each array column. Ids that were not there when the slots
+    were fitted, and missing ones, share the unknown slot of their column.
+    """
+    places, values, width = [], [], slots.width
+    for c, codes in slots.codes.items():
+        df = attach(df, codes.withColumnRenamed("_code", f"_slot_{c}"), [c])
+        places.append(F.lit(slots.first[c]) + F.coalesce(F.col(f"_slot_{c}") + 1, F.lit(0)))
+        values.append(F.lit(1.0))
+    for c in dense:
+        places.append(F.lit(width).cast("long"))
+        values.append(F.col(c).cast("double"))
+        width += 1
+    at, value = F.array(*places), F.array(*values)
+    for c, n in (vectors or {}).items():
+        at = F.concat(at, F.sequence(F.lit(width).cast("long"), F.lit(width + n - 1).cast("long")))
+        value = F.concat(value, F.col(c).cast("array<double>"))
+        width += n
+    named = df.withColumn(out, sparse_struct(width, at, value)).drop(*[f"_slot_{c}" for c in slots.codes])
+    return stored_vectors(named, out)
+
+
 def _labelled(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("_label", F.col(label).cast("double"))
 
@@ -225,6 +276,45 @@ def multi_action_score(train: DataFrame, score: DataFrame, actions: Sequence[str
     return score
 
 
+def shared_leaves(train: DataFrame, score: DataFrame, actions: Sequence[str], trees: int = 20,
+                  **params) -> tuple[DataFrame, DataFrame]:
+    """Training and scoring rows, stored, with one representation for all actions.
+
+    One forest learns which actions go together, as the classes of their combinations; a row is
+    then the set of leaves it falls into, one slot per tree and leaf. Rows of combinations that
+    the forest has not learned from get leaves all the same.
+    """
+    settings = dict(labelCol="_label", featuresCol="features", numTrees=trees, maxDepth=5, seed=SAMPLE_SEED)
+    combination = sum((F.coalesce(F.col(a), F.lit(0)).cast("int") * 2 ** i for i, a in enumerate(actions)), F.lit(0))
+    forest = RandomForestClassifier(**{**settings, **params}).fit(train.withColumn("_label", combination.cast("double")))
+    sizes = [tree.numLeave() for tree in forest._java_obj.trees()]
+    firsts = [sum(sizes[:i]) for i in range(len(sizes))]
+    starts = f"array({', '.join(map(str, firsts))})"
+
+    def represented(df: DataFrame) -> DataFrame:
+        leaves = forest.transform(df, {forest.leafCol: "_leaves"}).drop("rawPrediction", "probability", "prediction")
+        at = F.expr(f"transform(_in_tree, (leaf, tree) -> cast(leaf AS int) + get({starts}, tree))")
+        ones = F.array_repeat(F.lit(1.0), len(sizes))
+        named = leaves.withColumn("_in_tree", vector_to_array("_leaves")).withColumn(
+            "features", sparse_struct(sum(sizes), at, ones)).drop("_leaves", "_in_tree")
+        return stored_vectors(named, "features")
+
+    return represented(train), represented(score)
+
+
+def fit_linear(train: DataFrame, label: str, **params) -> Model:
+    """Logistic regression, for sparse representations that others have learned."""
+    settings = dict(labelCol="_label", featuresCol="features", regParam=1e-3, maxIter=50)
+    return LogisticRegression(**{**settings, **params}).fit(_labelled(train, label))
+
+
+def joint_action_score(train: DataFrame, score: DataFrame, actions: Sequence[str], trees: int = 20,
+                       **params) -> DataFrame:
+    """One prediction column per action, all from one shared representation."""
+    seen, asked = shared_leaves(train, score, actions, trees, **params)
+    return multi_action_score(seen, asked, actions, fit_linear)
+
+
 def ensemble_mean(results: Sequence[DataFrame], keys: Sequence[str], actions: Sequence[str]) -> DataFrame:
     """Mean prediction per key over several results."""
     return blend(results, keys, actions)

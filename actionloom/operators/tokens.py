@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from actionloom.functions.lists import merge_keywords, merge_tags
 from actionloom.functions.signals import any_action
+from actionloom.functions.vectors import sparse_struct, stored_vectors
 from actionloom.operators.ordering import ordered_codes
 from actionloom.operators.windows import attach
 from actionloom.spec import TAG_THRESHOLD, FeatureSpec
@@ -105,3 +106,15 @@ def multihot_vectors(df: DataFrame, id_column: str, list_column: str, name: str)
     return text.select(
         id_column, F.transform(F.split("_text", " "), lambda x: x.cast("double")).alias(name)
     )
+
+
+def multihot_sparse(df: DataFrame, id_column: str, list_column: str, name: str) -> tuple[DataFrame, int]:
+    """((id, ``name`` as a sparse vector of ones), the width), stored.
+
+    The width is the vocabulary's size, entries ascend with the tokens, and a row costs as much
+    as its list is long, whatever the vocabulary.
+    """
+    coded, vocabulary = token_codes(df, id_column, list_column)
+    width = vocabulary.count()
+    ones = F.transform("codes", lambda _: F.lit(1.0))
+    return stored_vectors(coded.select(id_column, sparse_struct(width, F.col("codes"), ones).alias(name)), name), width

@@ -170,6 +170,29 @@ def item_window_stats(inter: DataFrame, items: DataFrame, spec: FeatureSpec) ->
     return with_watch_rates(_entity_window_stats(inter, "item", spec), items, spec)
 
 
+#: Logarithm of the registers of a sketch: 2**14 give an error of about 0.8 %.
+SKETCH_BITS = 14
+
+
+def distinct_sketches(df: DataFrame, keys: Sequence[str], value: str, spec: FeatureSpec,
+                      bits: int = SKETCH_BITS) -> DataFrame:
+    """(keys, day, sketch): one mergeable sketch of the different values per key and day."""
+    known = F.col(value).isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return df.filter(known).groupBy(*keys, spec.day).agg(F.hll_sketch_agg(value, F.lit(bits)).alias("sketch"))
+
+
+def approx_distinct_of_sketches(sketches: DataFrame, keys: Sequence[str], name: str, spec: FeatureSpec) -> DataFrame:
+    """(keys, target day, name): estimated numbers of different values in each window.
+
+    Distinct counts do not add up over days, but the days' sketches do: they are a bounded size
+    and can be kept, so neither the log nor its distinct pairs are read for a new window.
+    """
+    fanned = explode_target_days(sketches.repartition(*keys), spec)
+    return fanned.groupBy(*keys, spec.day).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias(name))
+
+
 _WATCHED = ("play_times", "play", "stay")
 
 

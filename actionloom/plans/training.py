@@ -69,7 +69,7 @@ def rolling_feature_table(inter: DataFrame, scoring: DataFrame, items: DataFrame
     """Training and scoring rows with item attributes, vectors, rolling and global statistics."""
     rows = union_scoring(inter, stamp_day(scoring, spec))
     rows = attach(rows, items.select(spec.item, spec.author, spec.duration), [spec.item])
-    rows = watch_signals(rows)
+    rows = stored(watch_signals(rows))  # read by every statistic below
     history = rows.filter(F.col(spec.day) < spec.last_day)
     out = rows
     for vectors, key in ((item_vectors, spec.item), (user_vectors, spec.user)):

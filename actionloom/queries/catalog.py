@@ -10,13 +10,14 @@ import uuid
 from collections.abc import Callable, Sequence
 from functools import partial
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actionloom.functions.signals import watch_signals
 from actionloom.functions.vectors import parse_vector, vector_summary
 from actionloom.operators import assemble as A
-from actionloom.operators import encode, evaluate, globals_, models, reduce, sampling, tokens, windows
+from actionloom.operators import encode, evaluate, factors, globals_, models, reduce, sampling, tokens, windows
 from actionloom.plans import training
 from actionloom.plans.feature_build import build_features
 from actionloom.plans.window_store import WindowStore
@@ -235,7 +236,7 @@ def rolling_stats_rangeframe(t: Tables) -> DataFrame:
 
 @query
 def attach_rolling(t: Tables) -> DataFrame:
-    history = t.watched()
+    history = stored(t.watched())
     rows = history.select("event_id", "userid", "feedid", "authorid", "date_")
     return rounded(A.attach_rolling(rows, history, ROLLING_KEY_SETS, SPEC))
 
@@ -298,7 +299,7 @@ def global_counts(t: Tables) -> DataFrame:
 
 @query
 def global_nunique(t: Tables) -> DataFrame:
-    return globals_.global_nunique(_with_items(t), NUNIQUE_PAIRS)
+    return globals_.global_nunique(stored(_with_items(t)), NUNIQUE_PAIRS)
 
 
 @query
@@ -319,7 +320,7 @@ def global_duration_means(t: Tables) -> DataFrame:
 
 @query
 def global_profile(t: Tables) -> DataFrame:
-    return rounded(globals_.attach_global_profile(_with_items(t), SPEC))
+    return rounded(globals_.attach_global_profile(stored(_with_items(t)), SPEC))
 
 
 # --- Assembly ----------------------------------------------------------------------
@@ -419,15 +420,103 @@ def vector_summary_compat(t: Tables) -> DataFrame:
 
 @query
 def embedding_pca(t: Tables) -> DataFrame:
-    reduced, _ = reduce.pca_k(_item_vectors(t), "embedding", 32)
-    return reduce.wide(reduced.drop("embedding"), "reduced", "embed", 32)
+    rows = stored(factors.dense_rows(_item_vectors(t), "embedding", "feedid"))
+    found = factors.factorise(rows, VECTOR_LENGTH, 32)
+    return reduce.wide(factors.project(rows, found), "reduced", "embed", 32)
+
+
+@query
+def embedding_pca_moments(t: Tables) -> DataFrame:
+    """What has to hold of the reduced vectors: as many as vectors, centred, with the variances
+    that the fit claims, which fall and are part of the whole."""
+    rows = stored(factors.dense_rows(_item_vectors(t), "embedding", "feedid"))
+    found = factors.factorise(rows, VECTOR_LENGTH, 32)
+    spread = factors.project(rows, found).select(F.posexplode("reduced").alias("place", "x")).groupBy("place").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("variance"))
+    claimed = F.array(*[F.lit(float(v)) for v in found.variance])
+    scale = float(found.variance[0]) if len(found.variance) else 1.0
+    checked = spread.withColumn("fits", F.abs(F.col("variance") - F.get(claimed, "place")) < 1e-6 * scale).select(
+        "place", "n", (F.abs("mean") < 1e-6 * max(scale, 1.0)).alias("centred"), "fits")
+    whole = float(found.variance.sum() / found.share.sum()) if found.share.sum() else 0.0
+    falling = bool((found.variance[1:] <= found.variance[:-1] + 1e-9 * scale).all())
+    return rounded(checked.withColumns({"whole_variance": F.lit(whole), "falling": F.lit(falling)}), 3)
 
 
 @query
 def tags_pca_ratio(t: Tables) -> DataFrame:
-    vectors = tokens.multihot_vectors(_user_lists(t), "userid", "user_tag_list", "tags")
-    reduced, explained = reduce.pca_ratio(stored(vectors), "tags", 0.9)
-    return reduce.wide(reduced.drop("tags"), "reduced", "tags", len(explained))
+    coded, vocabulary = tokens.token_codes(_user_lists(t), "userid", "user_tag_list")
+    rows = stored(factors.sparse_rows(coded, "codes", "userid"))
+    found, k = factors.factorise_to(rows, vocabulary.count(), 0.9)
+    return reduce.wide(factors.project(rows, found, k), "reduced", "tags", k)
+
+
+@query
+def tag_multihot_sparse(t: Tables) -> DataFrame:
+    rows, width = tokens.multihot_sparse(_user_lists(t), "userid", "user_tag_list", "tags")
+    places = F.expr("filter(transform(x, (v, i) -> if(v = 1D, i, null)), i -> i IS NOT NULL)").cast("array<string>")
+    return rows.withColumn("x", vector_to_array("tags")).select(
+        "userid", F.lit(width).alias("width"), F.array_join(places, ",").alias("indices"))
+
+
+TOKEN_WINDOW, TOKEN_SIZE = 5, 16
+_TOKEN_LISTS = ("feed_tag_list", "feed_keyword_list", "user_tag_list", "user_keyword_list")
+
+
+def _token_list(t: Tables, column: str) -> tuple[DataFrame, str]:
+    """The table that has a list column, and its id."""
+    if column.startswith("feed"):
+        return tokens.item_token_lists(t.items()).select("feedid", column), "feedid"
+    return _user_lists(t).select("userid", column), "userid"
+
+
+@query
+def token_ppmi(t: Tables) -> DataFrame:
+    """Positive mutual information of the tokens of all four kinds of lists."""
+    out = None
+    for column in _TOKEN_LISTS:
+        pairs, words = factors.positive_pmi(stored(_token_list(t, column)[0]), column, TOKEN_WINDOW)
+        name = lambda side: words.select(F.col("code").alias(f"code_{side}"), F.col("token").alias(f"token_{side}"))
+        named = pairs.join(name("a"), "code_a").join(name("b"), "code_b").select(
+            F.lit(column).alias("list"), "token_a", "token_b", "ppmi")
+        out = named if out is None else out.unionByName(named)
+    return rounded(out)
+
+
+@query
+def token_embeddings(t: Tables) -> DataFrame:
+    """Per kind of list and token: a vector from which tokens used alike can be told."""
+    out = None
+    for column in _TOKEN_LISTS:
+        vectors = factors.token_embeddings(stored(_token_list(t, column)[0]), column, TOKEN_SIZE, TOKEN_WINDOW)
+        named = vectors.select(F.lit(column).alias("list"), "token", F.size("embedding").alias("width"),
+                               F.forall("embedding", lambda x: ~F.isnan(x)).alias("finite"))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+@query
+def approx_user_window_items(t: Tables) -> DataFrame:
+    """Different items per user and window, exact, and whether merged sketches are within 3 %."""
+    log = t.interactions()
+    near = windows.approx_distinct_of_sketches(windows.distinct_sketches(log, ["userid"], "feedid", SPEC), ["userid"], "near", SPEC)
+    exact = windows.user_window_stats(log, SPEC).select("userid", "date_", "user_feed_cnt")
+    within = F.abs(F.col("near") - F.col("user_feed_cnt")) <= F.col("user_feed_cnt") * 0.03
+    return exact.join(near, ["userid", "date_"]).select("userid", "date_", "user_feed_cnt", within.alias("close"))
+
+
+@query
+def id_slots(t: Tables) -> DataFrame:
+    """How many slots the ids of each column get, and where they begin."""
+    rows = A.attach(t.train(), t.items().select("feedid", *_SLOT_ITEM_IDS), ["feedid"])
+    slots = models.fit_id_slots(rows, _SLOT_IDS)
+    sizes = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(slots.first[c]).alias("first"), F.lit(slots.codes[c].count()).alias("ids"))
+        for c in _SLOT_IDS]))
+    return t.spark.range(1).select(sizes)
+
+
+_SLOT_ITEM_IDS = ("authorid", "bgm_song_id", "bgm_singer_id")
+_SLOT_IDS = ("userid", "feedid", *_SLOT_ITEM_IDS, "device")
 
 
 @query
@@ -729,6 +818,12 @@ def fm_mlp_blend(t: Tables) -> DataFrame:
     return models.blend([wide, deep], _KEYS, ACTIONS_FIRST_STAGE)
 
 
+@query
+def joint_action_score(t: Tables) -> DataFrame:
+    train, score, _ = _dense_table(t)
+    return models.joint_action_score(train, score, ACTIONS_FIRST_STAGE).drop("features")
+
+
 @query
 def multi_action_score(t: Tables) -> DataFrame:
     train, score, _ = _dense_table(t)

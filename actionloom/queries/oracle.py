@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from actionloom.queries.catalog import (
-    CURVE_ROUNDS, FOLDS, NARROWED, NUNIQUE_PAIRS, PROFILED, ROLLING_QUERIES, SCALED, SPEC, TIE_SHIFT,
+    _SLOT_IDS, _TOKEN_LISTS, CURVE_ROUNDS, FOLDS, NARROWED, NUNIQUE_PAIRS, PROFILED, ROLLING_QUERIES, SCALED, SPEC,
+    TIE_SHIFT, TOKEN_SIZE, TOKEN_WINDOW,
 )
 from actionloom.sources.bindings import ORDERS_SPEC, PREDICTION_SCALE, VECTOR_LENGTH
 from actionloom.spec import (
@@ -767,4 +768,43 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT cast(t AS int) AS trees, users, true AS signal, true AS in_range FROM range(1, {CURVE_ROUNDS + 1}) r(t), ("
         "SELECT count(*) AS users FROM (SELECT userid FROM watched "
         f"WHERE date_ = {LAST - 1} GROUP BY userid HAVING min(is_finish) = 0 AND max(is_finish) = 1))")
+    out["tag_multihot_sparse"] = _sql(
+        ["user_lists"],
+        "SELECT userid, (SELECT count(DISTINCT token) FROM (SELECT unnest(user_tag_list) AS token FROM user_lists))::INT "
+        "AS width, coalesce(array_to_string(list_sort((SELECT list(code) FROM codes WHERE list_contains(user_tag_list, token))), "
+        "','), '') AS indices FROM user_lists",
+        "codes AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code FROM "
+        "(SELECT DISTINCT unnest(user_tag_list) AS token FROM user_lists))")
+    sources = {c: "item_lists" if c.startswith("feed") else "user_lists" for c in _TOKEN_LISTS}
+    met = " UNION ALL ".join(
+        f"SELECT '{c}' AS list, l.{c}[i] AS a, l.{c}[j] AS b FROM {s} l, range(1, len(l.{c}) + 1) x(i), "
+        f"range(i + 1, least(i + {TOKEN_WINDOW}, len(l.{c})) + 1) y(j)" for c, s in sources.items())
+    out["token_ppmi"] = _sql(
+        ["item_lists", "user_lists"],
+        f"SELECT n.list, n.a AS token_a, n.b AS token_b, {_r('ln(n.n * w.n / (x.n * cast(y.n AS double)))', 'ppmi')} FROM pairs n "
+        "JOIN totals x ON x.list = n.list AND x.a = n.a JOIN totals y ON y.list = n.list AND y.a = n.b "
+        "JOIN wholes w ON w.list = n.list WHERE ln(n.n * w.n / (x.n * cast(y.n AS double))) > 0",
+        f"met AS ({met}), pairs AS (SELECT list, a, b, cast(count(*) AS double) AS n FROM "
+        "(SELECT list, a, b FROM met UNION ALL SELECT list, b, a FROM met) GROUP BY ALL), "
+        "totals AS (SELECT list, a, sum(n) AS n FROM pairs GROUP BY ALL), wholes AS (SELECT list, sum(n) AS n FROM pairs GROUP BY ALL)")
+    out["token_embeddings"] = _sql(
+        ["item_lists", "user_lists"],
+        f"SELECT DISTINCT list, token, {TOKEN_SIZE} AS width, true AS finite FROM (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS list, unnest({c}) AS token FROM {s}" for c, s in sources.items()) + ")")
+    out["approx_user_window_items"] = _sql(
+        ["user_stats"], "SELECT userid, date_, user_feed_cnt, true AS close FROM user_stats")
+    counts_of = " UNION ALL ".join(
+        f"SELECT {i} AS i, '{c}' AS \"column\", count(DISTINCT {c}) AS ids FROM train LEFT JOIN "
+        "(SELECT feedid, authorid, bgm_song_id, bgm_singer_id FROM items) USING (feedid)" for i, c in enumerate(_SLOT_IDS))
+    out["id_slots"] = _sql(
+        ["train", "items"],
+        "SELECT \"column\", cast(coalesce(sum(ids + 1) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+        f"AS int) AS first, cast(ids AS int) AS ids FROM ({counts_of})")
+    out["embedding_pca_moments"] = _sql(
+        ["vectors"],
+        "SELECT cast(p AS int) AS place, n, true AS centred, true AS fits, "
+        + _r("whole", "whole_variance", 3)
+        + ", true AS falling FROM range(32) r(p), (SELECT count(*) AS n FROM vectors), "
+        "(SELECT sum(v) AS whole FROM (SELECT var_samp(x) AS v FROM (SELECT unnest(embedding) AS x, "
+        "generate_subscripts(embedding, 1) AS i FROM vectors) GROUP BY i))")
     return out

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql.types import StructType
 
 _SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -64,8 +65,8 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
-def stored(df: DataFrame, *partitioned_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
+def stored(df: DataFrame, *partitioned_by: str, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back, as ``schema`` if given.
 
     Used where a later step must see exactly the same rows again, where several steps
     read the same intermediate rows, or where an iterative fit would otherwise recompute
@@ -75,7 +76,7 @@ def stored(df: DataFrame, *partitioned_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partitioned_by) if partitioned_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def stored_with(df: DataFrame, measures: Mapping[str, Column], *partitioned_by: str) -> tuple[DataFrame, Row]:
