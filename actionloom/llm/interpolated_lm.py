@@ -20,6 +20,7 @@ named are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ from actionloom.session import discard, stored
 ORDER = 2
 #: Bytes of text in a block, unless one document has more.
 BLOCK_BYTES = 3 << 20
+#: Bytes of text for each bucket of n-grams, so that a bucket stays as large however much there is.
+BUCKET_BYTES = 16 << 20
 #: Steps per factor of two when probabilities are binned for the weights.
 BINS_PER_OCTAVE = 8
 #: More than any count can need: 2**12 steps are 512 octaves.
@@ -239,13 +242,13 @@ class Totals:
 def annotated(docs: DataFrame, held_col: str, id_col: str, text_col: str, order: int,
               block_bytes: int) -> tuple[DataFrame, Totals]:
     """A stored table of blocks with n-gram counts at every token, and the totals."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
     held = F.coalesce(F.col(held_col), F.lit(False))
     rows = docs.select(F.col(id_col).alias("_id"), held.alias("_held"), text_or_empty(text_col).alias("_text"))
-    bits = max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    size, documents = rows.agg(F.sum(F.octet_length("_text")), F.count_if(~F.col("_held"))).first()
+    bits = max(1, math.ceil(math.log2(max(2, (size or 0) / BUCKET_BYTES))))
     replies = stored(_requests(rows, order, bits, block_bytes).groupBy("n", "bucket").applyInArrow(_answer, _REPLY))
     sums = replies.filter("block IS NULL AND n = 1").agg(F.sum("total"), F.sum("known")).first()
-    documents = rows.filter(~F.col("_held")).count()
     counts = ", ".join(f"c{n} binary" for n in range(1, order + 1))
     asked = replies.filter("block IS NOT NULL").select("block", "n", "bucket", "counts")
     table = stored(_streams(rows, kind, block_bytes).groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(

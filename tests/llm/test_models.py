@@ -256,8 +256,9 @@ def test_hadamard_turns_without_stretching():
     assert np.allclose(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) and np.allclose(cross_polytope.hadamard(y), x)
 
 
-def test_recall_of_the_query(spark):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])  # at the second every table is asked the least number of axes
+def test_recall_of_the_query(spark, scale):
+    sf = f"/root/testdata/sf{scale}"
     table = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
     x = np.array([r.embedding for r in table], float)
     ids, x = np.array([r.vec_id for r in table]), x / np.linalg.norm(x, axis=1, keepdims=True)
