@@ -17,8 +17,8 @@ from actionloom.operators.encode import label_encode, robust_scale
 from actionloom.operators.evaluate import uauc, weighted_uauc
 from actionloom.operators.globals_ import attach_global_profile
 from actionloom.operators.models import (
-    Fit, dense_features, filled_vectors, fit_fm, fit_gbt, fit_gbt_early_stop, fit_gbt_weighted, kfold_ensemble,
-    mixed_features, multi_action_score, predict,
+    Fit, dense_features, filled_vectors, fit_fm, fit_gbt, fit_gbt_early_stop, fit_gbt_weighted, fit_id_slots,
+    kfold_ensemble, mixed_features, multi_action_score, predict, slot_features,
 )
 from actionloom.operators.sampling import (
     assign_folds, negative_sample, negative_sample_phase, negative_sample_stratified,
@@ -81,9 +81,13 @@ def rolling_feature_table(inter: DataFrame, scoring: DataFrame, items: DataFrame
 
 def train_rolling_gbt(table: DataFrame, spec: FeatureSpec, max_iter: int = 100,
                       actions: Sequence[str] = ACTIONS_FIRST_STAGE, extra_excluded: Sequence[str] = (),
-                      **params) -> Scored:
-    """Early-stopped trees measured on the validation day, refitted on all labelled rows
-    with as many trees, applied to the rows without a label."""
+                      patience: int = 20, every: int = 1, **params) -> Scored:
+    """Trees that stop early by the mean AUC of a user on the validation day, refitted on all
+    labelled rows with as many, applied to the rows without a label.
+
+    ``patience`` rounds without a gain end the search; ``every`` tells how many rounds apart
+    the validation day is looked at.
+    """
     excluded = [spec.day, *_WATCH, *spec.actions, *extra_excluded]
     columns = feature_columns(table, excluded)
     vectors = [c for c in columns if table.schema[c].dataType.typeName() == "array"]
@@ -95,7 +99,7 @@ def train_rolling_gbt(table: DataFrame, spec: FeatureSpec, max_iter: int = 100,
     _, validation = split_by_day(train, spec)
     submission = score.drop(*actions)
     for action in actions:
-        stopped, trees = fit_gbt_early_stop(train, action, spec, max_iter, **params)
+        stopped, trees = fit_gbt_early_stop(train, action, spec, max_iter, patience, every=every, **params)
         validation = predict(stopped, validation, f"p_{action}")
         final = fit_gbt(train, action, trees, **params)
         submission = predict(final, submission, action)
@@ -106,9 +110,10 @@ def train_rolling_gbt(table: DataFrame, spec: FeatureSpec, max_iter: int = 100,
 
 def side_table_features(inter: DataFrame, scoring: DataFrame, items: DataFrame, spec: FeatureSpec,
                         side_tables: Sequence[SideTable],
-                        dense: Sequence[str], buckets: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
-    """(train, score) with hashed ids, robust-scaled dense columns and vector columns.
+                        dense: Sequence[str], buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, score) with ids, robust-scaled dense columns and vector columns.
 
+    Every id of either part has a slot of its own; with ``buckets`` ids are hashed to so many.
     Kept vectors enter unscaled.
     """
     ids = [spec.user, spec.item, spec.author, "bgm_song_id", "bgm_singer_id", "device"]
@@ -119,8 +124,11 @@ def side_table_features(inter: DataFrame, scoring: DataFrame, items: DataFrame,
     scaled = [*dense, *summaries]
     # Stored once: scaling reads it several times, and every fit starts from it.
     table = stored(rows.withColumns({c: F.col(c).cast("double") for c in scaled}))
-    vectors = [t.prefix for t in side_tables if t.keep]
-    return split_by_tag(mixed_features(robust_scale(table, scaled), ids, scaled, vectors, buckets))
+    vectors = {t.prefix: t.keep for t in side_tables if t.keep}
+    prepared = robust_scale(table, scaled)
+    if buckets is not None:
+        return split_by_tag(mixed_features(prepared, ids, scaled, list(vectors), buckets))
+    return split_by_tag(slot_features(prepared, fit_id_slots(table, ids), scaled, vectors))
 
 
 def train_side_table(train: DataFrame, score: DataFrame, spec: FeatureSpec, fit: Fit = fit_fm, k: int = 0,

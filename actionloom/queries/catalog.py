@@ -731,7 +731,7 @@ def orders_user_auc(t: Tables) -> DataFrame:
 
 # --- Models ------------------------------------------------------------------------
 # The most trees a job of these queries may grow; the operators' own defaults are larger.
-_ROUNDS = 10
+_ROUNDS, _PATIENCE = 24, 6
 _TREES = dict(maxDepth=4)
 _KEYS = ("userid", "feedid")
 
@@ -740,7 +740,7 @@ _KEYS = ("userid", "feedid")
 def gbt_early_stop_refit(t: Tables) -> DataFrame:
     table = training.rolling_feature_table(t.interactions().filter(F.col("date_") < SPEC.last_day),
                                            t.scoring(), t.items(), SPEC)
-    done = training.train_rolling_gbt(table, SPEC, _ROUNDS, extra_excluded=["event_id"], **_TREES)
+    done = training.train_rolling_gbt(table, SPEC, _ROUNDS, extra_excluded=["event_id"], patience=_PATIENCE, **_TREES)
     return done.submission
 
 
@@ -792,20 +792,30 @@ def feature_importance_topk(t: Tables) -> DataFrame:
     return models.feature_importance(models.fit_gbt_weighted(train, "like", _ROUNDS, **_TREES), columns)
 
 
+def _learned_tables(t: Tables) -> list[A.SideTable]:
+    """Item vectors, and the mean vectors of the tokens of items and users."""
+    names = {"feed_tag_list": "feed_tags", "feed_keyword_list": "feed_kws",
+             "user_tag_list": "user_tags", "user_keyword_list": "user_kws"}
+    tables = [A.SideTable(_item_vectors(t), "feedid", "embedding", "feed_embed", VECTOR_LENGTH)]
+    for column, prefix in names.items():
+        lists, key = _token_list(t, column)
+        vectors = stored(factors.list_embeddings(stored(lists), key, column, TOKEN_SIZE, TOKEN_WINDOW))
+        tables.append(A.SideTable(vectors, key, "embedding", prefix, TOKEN_SIZE))
+    return tables
+
+
 def _mixed(t: Tables) -> tuple[DataFrame, DataFrame]:
     return training.side_table_features(
-        t.train(), t.scoring(), t.items(), SPEC, _side_tables(t, keep=True), ["videoplayseconds"], 1 << 12
-    )
+        t.train(), t.scoring(), t.items(), SPEC, _learned_tables(t), ["videoplayseconds"])
+
 
 
-def _quick_fm(df: DataFrame, label: str):
-    return models.fit_fm(df, label, maxIter=5)
 
 
 @query
 def fm_classifier(t: Tables) -> DataFrame:
     train, score = _mixed(t)
-    return training.train_side_table(train, score, SPEC, _quick_fm).submission
+    return training.train_side_table(train, score, SPEC, models.fit_fm).submission
 
 
 @query
@@ -813,7 +823,7 @@ def fm_mlp_blend(t: Tables) -> DataFrame:
     train, score = _mixed(t)
     flat_train, flat_score, columns = _dense_table(t)
     fit_deep = lambda df, label: models.fit_mlp(df, label, len(columns), (16, 16), maxIter=5)
-    wide = training.train_side_table(train, score, SPEC, _quick_fm).submission
+    wide = training.train_side_table(train, score, SPEC, models.fit_fm).submission
     deep = models.multi_action_score(flat_train, flat_score, ACTIONS_FIRST_STAGE, fit_deep)
     return models.blend([wide, deep], _KEYS, ACTIONS_FIRST_STAGE)
 
@@ -835,7 +845,7 @@ def multi_action_score(t: Tables) -> DataFrame:
 def kfold_ensemble(t: Tables) -> DataFrame:
     train, score = _mixed(t)
     return training.train_side_table(
-        train, score, SPEC, _quick_fm, k=3, row_id="event_id"
+        train, score, SPEC, models.fit_fm, k=3, row_id="event_id"
     ).submission
 
 
@@ -844,6 +854,6 @@ def model_blend(t: Tables) -> DataFrame:
     train, score = _mixed(t)
     flat_train, flat_score, _ = _dense_table(t)
     fit_trees = lambda df, label: models.fit_gbt(df, label, _ROUNDS, **_TREES)
-    wide = training.train_side_table(train, score, SPEC, _quick_fm).submission
+    wide = training.train_side_table(train, score, SPEC, models.fit_fm).submission
     trees = models.multi_action_score(flat_train, flat_score, ACTIONS_FIRST_STAGE, fit_trees)
     return models.blend([wide, trees], _KEYS, ACTIONS_FIRST_STAGE, [0.4, 0.6])
