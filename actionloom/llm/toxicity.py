@@ -147,6 +147,22 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
         run, "label int, hashes binary, sentences binary").toArrow(), totals
 
 
+def gradient(w: np.ndarray, bias: float, feature: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarray,
+             importance: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of the weighted log-loss of the documents' labels, by the words' weights and the bias.
+
+    ``feature`` and ``sentence`` tell which word stands in which sentence, ``owner`` the document
+    of each sentence.
+    """
+    z = bias + np.bincount(sentence, weights=w[feature], minlength=len(owner))
+    clean = _all_clean(z, owner, len(y))
+    toxic = -np.expm1(clean)
+    # Noisy-or: blame of a sentence is its chance, times how surprising a toxic label is.
+    blame = np.where(y == 1, -np.exp(clean) / np.maximum(toxic, 1e-12), 1.0) * importance
+    slope = blame[owner] * np.exp(-np.logaddexp(0.0, -z))
+    return np.bincount(feature, weights=slope[sentence], minlength=len(w)), float(slope.sum())
+
+
 def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings = Settings(),
              totals: dict[int, int] | None = None) -> Model:
     """The model of (label, word hashes, sentence numbers) per document.
@@ -176,18 +192,11 @@ def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings
     importance = np.where(y == 1, shares[1] / sizes[1], shares[0] / sizes[0]) / sum(shares.values())
     l1 = settings.l1_documents * shares[1] / sizes[1] / sum(shares.values())
     for _ in range(settings.iterations):
-        z = bias + np.bincount(sentence, weights=w[feature], minlength=len(owner))
-        clean = _all_clean(z, owner, len(y))
-        toxic = -np.expm1(clean)
-        # Noisy-or: blame of a sentence is its chance, times how surprising a toxic label is.
-        blame = np.where(y == 1, -np.exp(clean) / np.maximum(toxic, 1e-12), 1.0) * importance
-        slope = blame[owner] * np.exp(-np.logaddexp(0.0, -z))
-        g = np.bincount(feature, weights=slope[sentence], minlength=len(w))
+        g, bias_g = gradient(w, bias, feature, sentence, owner, y, importance)
         scale += g * g
         step = settings.rate / np.sqrt(scale)
         w = w - step * g
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0.0)
-        bias_g = slope.sum()
         bias_scale += bias_g * bias_g
         bias -= settings.rate / np.sqrt(bias_scale) * bias_g
     used = np.flatnonzero(w)

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +279,66 @@ def test_unlabelled_corpus_stays(spark):
     rows = docs(spark, [(1, "some words", None), (2, None, None)])
     model = language.fit(rows)
     assert model is None and language.keep_identified(rows, model, 0.4).count() == 2
+
+
+def test_leader_against_a_loop_over_coordinates():
+    """Follow-the-regularised-leader with a dictionary per weight, against the array form."""
+    settings = language.Settings()
+    rng, classes = np.random.default_rng(1), 3
+    model = language.Ftrl(20, classes, settings)
+    z, n = {}, {}
+
+    def weight(i, c):
+        if abs(z.get((i, c), 0.0)) <= settings.l1:
+            return 0.0
+        sign = 1 if z[i, c] > 0 else -1
+        return -(z[i, c] - sign * settings.l1) / ((settings.beta + n[i, c] ** 0.5) / settings.alpha + settings.l2)
+
+    for _ in range(200):
+        rows = rng.choice(20, size=4, replace=False)
+        x, label = rng.random(4) * 3, int(rng.integers(classes))
+        scores = [sum(v * weight(i, c) for i, v in zip(rows, x)) for c in range(classes)]
+        top = max(scores)
+        total = sum(math.exp(s - top) for s in scores)
+        for c in range(classes):
+            error = math.exp(scores[c] - top) / total - (c == label)
+            for i, v in zip(rows, x):
+                w, g, before = weight(i, c), v * error, n.get((i, c), 0.0)
+                z[i, c] = z.get((i, c), 0.0) + g - ((before + g * g) ** 0.5 - before ** 0.5) / settings.alpha * w
+                n[i, c] = before + g * g
+        model.learn(rows, x, label)
+    want = np.array([[weight(i, c) for c in range(classes)] for i in range(20)])
+    assert np.allclose(model.weights(slice(None)), want, atol=1e-12) and (want != 0).any()
+
+
+def test_gradient_of_noisy_or_against_differences():
+    rng = np.random.default_rng(2)
+    owner = np.array([0, 0, 1, 2, 2, 2, 3])
+    sentence, feature = rng.integers(0, 7, 60), rng.integers(0, 9, 60)
+    y, importance = np.array([1.0, 0.0, 1.0, 0.0]), np.array([0.7, 1.3, 0.4, 2.0])
+    w, bias = rng.normal(size=9) * 0.5, -1.2
+
+    def loss(w, bias):
+        total = 0.0
+        for d in range(4):
+            clean = 1.0
+            for s in np.flatnonzero(owner == d):
+                z = bias + sum(w[f] for f, t in zip(feature, sentence) if t == s)
+                clean *= 1 - 1 / (1 + math.exp(-z))
+            total -= importance[d] * math.log(1 - clean if y[d] else clean)
+        return total
+
+    g, bias_g = toxicity.gradient(w, bias, feature, sentence, owner, y, importance)
+    h = 1e-6
+    step = lambda i: np.eye(9)[i] * h
+    assert np.allclose(g, [(loss(w + step(i), bias) - loss(w - step(i), bias)) / 2 / h for i in range(9)], atol=1e-6)
+    assert bias_g == pytest.approx((loss(w, bias + h) - loss(w, bias - h)) / 2 / h, abs=1e-6)
+
+
+def test_slices_are_bounded_by_bytes():
+    from actionloom.llm.common import slices
+
+    batch = pa.record_batch([pa.array(["x" * (50_000 if i % 3 else 9_000_000) for i in range(20)] + ["y"] * 600)], names=["t"])
+    parts = list(slices(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows <= 256 and (p.num_rows == 1 or p.nbytes <= 4 << 20) for p in parts)
