@@ -116,16 +116,20 @@ def uauc(df: DataFrame, actions: Sequence[str], user: str = "userid",
     )
 
 
-def weighted_uauc(per_action: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """One row ``score``: the weighted mean of ``uauc`` over the actions, to six decimals.
+def weighted_uauc(per_action: DataFrame, weights: Mapping[str, float] | None = None,
+                  actions: Sequence[str] | None = None) -> DataFrame:
+    """One row ``score``: the weighted mean of ``uauc`` over the rows, to six decimals.
 
-    NULL unless every action has a ``uauc`` and a weight.
+    NULL unless every row has a ``uauc`` and a weight and, where ``actions`` are given, each of
+    them has a row. Without them the mean is over the actions that are there.
     """
     weight_of = F.create_map(*[
         F.lit(x) for pair in (weights or ACTION_WEIGHTS).items() for x in pair
     ])
     weighted = per_action.withColumn("_w", weight_of[F.col("action")].cast("double"))
     known = F.bool_and(F.col("uauc").isNotNull() & F.col("_w").isNotNull())
+    if actions is not None:
+        known = known & (F.count_distinct(F.when(F.col("action").isin(*actions), F.col("action"))) == len(set(actions)))
     mean = F.sum(F.col("_w") * F.col("uauc")) / F.sum("_w")
     return weighted.agg(F.when(known, F.round(mean, SCORE_DECIMALS)).alias("score"))
 
@@ -150,7 +154,10 @@ def score_submission(result: DataFrame, label: DataFrame, mode: str = "first") -
         df.withColumns({k: F.col(k).try_cast("long") for k in keys if k in df.columns}) for df in (label, result)
     )
     absent = [c for c in [*keys, *actions] if c not in result.columns]
-    sizes = _match_sizes(result, label, [k for k in keys if k not in absent])
+    # Three numbers, counted once: the checks, the guard of the join and the message all need them.
+    counted = _match_sizes(result, label, [k for k in keys if k not in absent])
+    found = counted.first()
+    sizes = spark.createDataFrame([found], counted.schema)
     if absent:
         missing = F.lit(f"columns missing in the result: {', '.join(absent)}")
         unequal = F.col("n_result") != F.col("n_label")
@@ -161,9 +168,7 @@ def score_submission(result: DataFrame, label: DataFrame, mode: str = "first") -
 
     # Pairs are formed only once the counts say that they number exactly one per label,
     # so repeated keys on both sides can not multiply.
-    matched = sizes.select(
-        (F.col("n_result") == F.col("n_label")) & (F.col("n_pairs") == F.col("n_label"))
-    ).scalar()
+    matched = F.lit(found["n_result"] == found["n_label"] == found["n_pairs"])
     labels = label.select(*keys, *[F.col(a).try_cast("int").alias(a) for a in actions])
     scores = result.select(*keys, *[F.col(a).try_cast("double").alias(f"p_{a}") for a in actions])
     joined = labels.filter(matched).join(scores.filter(matched), keys)

@@ -48,11 +48,18 @@ def _fan_out(rows: DataFrame, spec: FeatureSpec) -> DataFrame:
 
 
 def covered_targets(df: DataFrame, keys: Sequence[str], value: str, spec: FeatureSpec) -> DataFrame:
-    """(keys, target day) once for every distinct ``value`` seen in that day's window."""
+    """(keys, target day) once for every distinct ``value`` seen in that day's window.
+
+    Rows with a null key are left out. The distinct (keys, value) rows are planned alike whichever
+    of the columns is the value, so that one exchange of them serves both directions.
+    """
     low, high = _target_range(spec)
     first = F.lit(spec.first_target)
-    rows = df.filter(_feeds_a_target(spec) & F.col(value).isNotNull()).select(
-        *keys, value, (low - first).alias("_lo"), (high - first).alias("_hi")
+    known, both = _feeds_a_target(spec), sorted([*keys, value])
+    for c in both:
+        known = known & F.col(c).isNotNull()
+    rows = df.filter(known).select(
+        *both, (low - first).alias("_lo"), (high - first).alias("_hi")
     )
     n_blocks = (spec.last_day - spec.first_target) // _MASK_BITS + 1
     if n_blocks == 1:
@@ -65,7 +72,7 @@ def covered_targets(df: DataFrame, keys: Sequence[str], value: str, spec: Featur
         f"shiftleft(1L, least(_hi - _block * {_MASK_BITS}, {_MASK_BITS - 1}) + 1)"
         f" - shiftleft(1L, greatest(_lo - _block * {_MASK_BITS}, 0))"
     )
-    pairs = rows.groupBy(*keys, value, "_block").agg(F.bit_or(mask).alias("_mask"))
+    pairs = rows.groupBy(*both, "_block").agg(F.bit_or(mask).alias("_mask"))
     bits = min(_MASK_BITS, spec.last_day - spec.first_target + 1)
     return pairs.select(
         *keys,
@@ -126,7 +133,7 @@ def entity_stats_of_partials(partials: DataFrame, pairs: DataFrame, entity: str,
     low, high = _target_range(spec)
     sums = partials.filter(_feeds_a_target(spec)).withColumns({"_from": low, "_to": high})
     distinct = (
-        covered_targets(pairs.filter(F.col(key).isNotNull()), [key], other, spec)
+        covered_targets(pairs, [key], other, spec)
         .groupBy(key, spec.day)
         .agg(F.count(F.lit(1)).alias("_distinct"))
         .withColumns({"_from": F.col(spec.day), "_to": F.col(spec.day)})

@@ -14,10 +14,10 @@ from actionloom.operators.assemble import (
     stamp_day, tag_union, union_scoring,
 )
 from actionloom.operators.encode import label_encode, robust_scale
-from actionloom.operators.evaluate import uauc, weighted_uauc
+from actionloom.operators.evaluate import score_submission, uauc, weighted_uauc
 from actionloom.operators.globals_ import attach_global_profile
 from actionloom.operators.models import (
-    Fit, dense_features, filled_vectors, fit_fm, fit_gbt, fit_gbt_early_stop, fit_gbt_weighted, fit_id_slots,
+    Fit, dense_features, ensemble_mean, filled_vectors, fit_fm, fit_gbt, fit_gbt_early_stop, fit_gbt_weighted, fit_id_slots,
     kfold_ensemble, mixed_features, multi_action_score, predict, slot_features,
 )
 from actionloom.operators.sampling import (
@@ -25,6 +25,7 @@ from actionloom.operators.sampling import (
 )
 from actionloom.operators.windows import attach
 from actionloom.session import stored
+from actionloom.sources.tables import read_submission, write_submission
 from actionloom.spec import (
     ACTIONS_FIRST_STAGE, EARLY_NEGATIVE_RATE, LATE_NEGATIVE_RATE, NEGATIVE_RATE, ROLLING_KEY_SETS, FeatureSpec,
 )
@@ -105,7 +106,8 @@ def train_rolling_gbt(table: DataFrame, spec: FeatureSpec, max_iter: int = 100,
         submission = predict(final, submission, action)
     # Tree predictions are compared as they are, not rounded to submission decimals.
     per_action = uauc(validation, actions, spec.user, decimals=None)
-    return Scored(submission.select(spec.user, spec.item, *actions), per_action, weighted_uauc(per_action))
+    return Scored(submission.select(spec.user, spec.item, *actions), per_action,
+                  weighted_uauc(per_action, actions=actions))
 
 
 def side_table_features(inter: DataFrame, scoring: DataFrame, items: DataFrame, spec: FeatureSpec,
@@ -148,7 +150,7 @@ def train_side_table(train: DataFrame, score: DataFrame, spec: FeatureSpec, fit:
         measured = multi_action_score(earlier, validation, actions, fit, "p_")
         per_action = uauc(measured, actions, spec.user, decimals=None)
         submission = measured.select(*keys, *[F.col(f"p_{a}").alias(a) for a in actions])
-        return Scored(submission, per_action, weighted_uauc(per_action))
+        return Scored(submission, per_action, weighted_uauc(per_action, actions=actions))
     bare = score.drop(*actions)
     if k:
         folds = assign_folds(train, k, row_id)
@@ -156,6 +158,21 @@ def train_side_table(train: DataFrame, score: DataFrame, spec: FeatureSpec, fit:
     return Scored(multi_action_score(train, bare, actions, fit).select(*keys, *actions))
 
 
+def offline_verdict(done: Scored, labels: DataFrame, path: str, spec: FeatureSpec,
+                    actions: Sequence[str] = ACTIONS_FIRST_STAGE) -> DataFrame:
+    """Write an offline submission as it would be handed in, read it back, and score the file.
+
+    A pair that occurs several times on the validation day has the mean of its predictions and
+    every action that occurred. The result is the one row of ``score_submission``.
+    """
+    keys = [spec.user, spec.item]
+    _, held = split_by_day(labels, spec)
+    truth = held.groupBy(*keys).agg(*[F.max(a).alias(a) for a in actions])
+    write_submission(ensemble_mean([done.submission], keys, actions), path, actions)
+    handed_in = read_submission(labels.sparkSession, path, actions)
+    return score_submission(handed_in, truth, "first" if len(actions) == len(ACTIONS_FIRST_STAGE) else "all")
+
+
 def train_staged_gbt(inter: DataFrame, scoring: DataFrame, items: DataFrame, spec: FeatureSpec, stage: str,
                      max_iter: int = 200, actions: Sequence[str] = ACTIONS_FIRST_STAGE, **params) -> Scored:
     """Class-weighted trees on encoded ids. ``stage`` "offline" fits the days before the
@@ -178,4 +195,4 @@ def train_staged_gbt(inter: DataFrame, scoring: DataFrame, items: DataFrame, spe
     measured = multi_action_score(earlier, validation, actions, fit, "p_")
     per_action = uauc(measured, actions, spec.user, decimals=None)
     submission = measured.select(*keys, *[F.col(f"p_{a}").alias(a) for a in actions])
-    return Scored(submission, per_action, weighted_uauc(per_action))
+    return Scored(submission, per_action, weighted_uauc(per_action, actions=actions))

@@ -776,6 +776,22 @@ def gbt_weighted_offline(t: Tables) -> DataFrame:
     return done.per_action
 
 
+@query
+def offline_submission_score(t: Tables) -> DataFrame:
+    """The verdict on the written file of an offline run, but for the score itself."""
+    done = training.train_staged_gbt(t.train(), t.scoring(), t.items(), SPEC, "offline", _ROUNDS, **_TREES)
+    path = f"{shared_dir(t.spark)}/offline-{uuid.uuid4().hex}"
+    verdict = training.offline_verdict(done, t.train(), path, SPEC)
+    rows = S.read_submission(t.spark, path, ACTIONS_FIRST_STAGE)
+    inside = F.lit(True)
+    for a in ACTIONS_FIRST_STAGE:
+        inside = inside & F.col(a).between(0, 1)
+    seen = rows.agg(F.count(F.lit(1)).alias("pairs"), F.bool_and(inside).alias("probabilities"))
+    pairs, probabilities = seen.first()
+    return verdict.select("ret", "err_msg", F.col("score").between(0, 1).alias("scored"),
+                          F.lit(pairs).cast("long").alias("pairs"), F.lit(probabilities).alias("probabilities"))
+
+
 def _dense_table(t: Tables) -> tuple[DataFrame, DataFrame, list[str]]:
     """Imputed training and scoring rows with all window statistics as one vector."""
     built = build_features(t.train(), t.items(), t.scoring(), SPEC)

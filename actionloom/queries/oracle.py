@@ -807,4 +807,8 @@ def oracle_sql() -> dict[str, str]:
         + ", true AS falling FROM range(32) r(p), (SELECT count(*) AS n FROM vectors), "
         "(SELECT sum(v) AS whole FROM (SELECT var_samp(x) AS v FROM (SELECT unnest(embedding) AS x, "
         "generate_subscripts(embedding, 1) AS i FROM vectors) GROUP BY i))")
+    out["offline_submission_score"] = _sql(
+        ["train"],
+        "SELECT 0 AS ret, cast(NULL AS varchar) AS err_msg, true AS scored, count(*) AS pairs, true AS probabilities "
+        f"FROM (SELECT DISTINCT userid, feedid FROM train WHERE date_ = {LAST - 1})")
     return out

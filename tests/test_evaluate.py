@@ -141,3 +141,21 @@ def test_rounding_before_ranking(spark):
     rows = [(1, 0, 0.30000004), (1, 1, 0.30000001)]
     assert auc_of(frame(spark, rows)) == 0.5
     assert auc_of(frame(spark, rows), decimals=None) == 0.0
+
+
+def test_ids_that_are_no_numbers(result, labels):
+    bad = result.withColumn("userid", F.when(F.col("feedid") == result.first()["feedid"], "x").otherwise(F.col("userid").cast("string")))
+    assert evaluate.score_submission(bad, labels).first()["ret"] == 3
+
+
+def test_counts_of_a_submission_are_taken_once(result, labels):
+    """What is planned for a score does not count the pairs again."""
+    plan = evaluate.score_submission(result, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1 and plan.count("Join") == 1  # of the figures; of labels and scores
+
+
+def test_missing_actions_are_noticed_if_named(spark):
+    rows = spark.createDataFrame([("like", 10, 0.8), ("forward", 10, 0.6)], "action string, users long, uauc double")
+    assert evaluate.weighted_uauc(rows).first()["score"] == 0.75
+    assert evaluate.weighted_uauc(rows, actions=["like", "forward"]).first()["score"] == 0.75
+    assert evaluate.weighted_uauc(rows, actions=["like", "forward", "read_comment"]).first()["score"] is None

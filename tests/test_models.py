@@ -149,3 +149,83 @@ def test_shorter_model_keeps_its_columns(planted):
     shorter = models.first_trees(model, 2)
     assert shorter.getFeaturesCol() == "inputs"
     assert models.predict(shorter, planted.withColumnRenamed("features", "inputs"), "p").count() == planted.count()
+
+
+@pytest.mark.parametrize("mode", ["full", "exact", "phase", "stratified"])
+def test_sampled_rows_of_an_action(planted, mode):
+    from actionloom.spec import EARLY_NEGATIVE_RATE, LATE_NEGATIVE_RATE, NEGATIVE_RATE
+    kept = training.sampled_rows(mode, "event_id", first_day=3)(planted, "like")
+    rows = planted.filter("date_ >= 3")
+    n = lambda df, where: df.filter(where).count()
+    assert n(kept, "`like` = 1") == n(rows, "`like` = 1") and n(kept, "date_ < 3") == 0
+    negatives = n(rows, "`like` = 0")
+    if mode == "full":
+        assert n(kept, "`like` = 0") == negatives
+    if mode == "exact":
+        assert n(kept, "`like` = 0") == round(NEGATIVE_RATE["like"] * negatives)
+    if mode == "phase":
+        for where, rate in (("date_ < 7", EARLY_NEGATIVE_RATE["like"]), ("date_ >= 7", LATE_NEGATIVE_RATE["like"])):
+            assert n(kept, f"`like` = 0 AND {where}") == round(rate * n(rows, f"`like` = 0 AND {where}"))
+    if mode == "stratified":
+        assert 0.3 * negatives < n(kept, "`like` = 0") < 0.7 * negatives
+    with pytest.raises(ValueError):
+        training.sampled_rows("guess", "event_id")(planted, "like")
+
+
+def test_samples_by_several_columns(planted):
+    """Rows that agree in all id columns are kept or dropped together."""
+    from actionloom.operators.sampling import negative_sample
+    twice = planted.unionAll(planted)
+    kept = negative_sample(twice, "like", 0.5, ["userid", "feedid", "date_", "event_id"])
+    per_row = kept.filter("`like` = 0").groupBy("event_id").count()
+    assert {r["count"] for r in per_row.collect()} == {2}
+    negatives = twice.filter("`like` = 0").count()
+    assert abs(kept.filter("`like` = 0").count() - negatives / 2) <= 1
+
+
+def test_vectors_in_the_tree_job(spark):
+    """Item and user vectors reach the trees; a missing vector counts as zeros."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    items = t.items().select("feedid", F.array(F.lit(0.5), F.col("feedid").cast("double")).alias("item_vector"))
+    users = t.train().select("userid").distinct().filter("userid % 2 = 0").select(
+        "userid", F.array(F.lit(1.0)).alias("user_vector"))
+    table = training.rolling_feature_table(t.train(), t.scoring(), t.items(), EVENTS_SPEC, items, users, global_profile=False)
+    done = training.train_rolling_gbt(table, EVENTS_SPEC, 3, ["like"], ["event_id"], patience=2, maxDepth=2)
+    rows = done.submission.collect()
+    assert len(rows) == t.scoring().count() and all(0 <= r["like"] <= 1 for r in rows)
+    widths = models.filled_vectors(table, ["item_vector", "user_vector"]).select("item_vector", "user_vector").collect()
+    assert {(len(r[0]), len(r[1])) for r in widths} == {(2, 1)}
+
+
+def test_offline_stage_of_the_side_table_job(spark, planted, tmp_path):
+    rows = planted.withColumns({a: F.col("like") for a in ("read_comment", "click_avatar")})
+    sample = training.sampled_rows("exact", "event_id")
+    done = training.train_side_table(rows, rows.limit(0), SPEC, lambda d, a: models.fit_gbt(d, a, 2, **SMALL),
+                                     sample=sample, stage="offline")
+    assert done.weighted.first()["score"] > 0.6
+    held = rows.filter(F.col("date_") == SPEC.validation_day)
+    assert done.submission.count() == held.count()
+    verdict = training.offline_verdict(done, rows, str(tmp_path / "offline"), SPEC).first()
+    assert verdict["ret"] == 0 and verdict["score"] > 0.6
+
+
+def test_only_days_that_feed_validation_are_read(spark):
+    from actionloom.plans.feature_build import build_features
+    t = Tables(spark, "/root/testdata/sf0.001")
+    built = build_features(t.interactions(), t.items(), t.scoring(), EVENTS_SPEC)
+    day = EVENTS_SPEC.validation_day
+    want = built.training.filter(F.col("date_") == day)
+    key = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(*sorted(df.columns)).collect())
+    assert key(built.validation) == key(want)
+    plan = built.validation._jdf.queryExecution().optimizedPlan().toString()
+    assert f"<= {day})" in plan or f"< {day + 1})" in plan
+
+
+def test_one_exchange_of_pairs_for_both_directions(spark):
+    from actionloom.operators.windows import item_window_stats, user_window_stats
+    t = Tables(spark, "/root/testdata/sf0.001")
+    log = t.interactions()
+    wide = user_window_stats(log, EVENTS_SPEC).select("date_", F.col("user_feed_cnt").alias("n")).union(
+        item_window_stats(log, t.items(), EVENTS_SPEC).select("date_", "feed_user_cnt"))
+    wide.collect()
+    assert "ReusedExchange" in wide._jdf.queryExecution().executedPlan().toString()
