@@ -272,13 +272,13 @@ counts AS MATERIALIZED (
 totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
 candidates AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE k > 1 AND f >= 30),
 cuts AS (
-  SELECT c.*, l.f AS l, r.f AS r, c.at,
+  SELECT c.*, l.f AS l, r.f AS r, c.cut,
          (2000000::HUGEINT * a) // (l.f::HUGEINT + r.f) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS at FROM candidates) c
-  JOIN counts l ON l.lang = c.lang AND l.k = c.at AND l.phrase = array_to_string(w[1:c.at], ' ')
-  JOIN counts r ON r.lang = c.lang AND r.k = c.k - c.at AND r.phrase = array_to_string(w[c.at + 1:c.k], ' ')),
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.k = c.cut AND l.phrase = array_to_string(w[1:c.cut], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.k = c.k - c.cut AND r.phrase = array_to_string(w[c.cut + 1:c.k], ' ')),
 weakest AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, at) = 1),
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, cut) = 1),
 inside AS (
   SELECT lang, m AS k, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(a) AS longer
   FROM candidates c, range(2, c.k) ms(m), range(1, c.k - m + 2) ss(s) GROUP BY ALL),
