@@ -811,4 +811,9 @@ def oracle_sql() -> dict[str, str]:
         ["train"],
         "SELECT 0 AS ret, cast(NULL AS varchar) AS err_msg, true AS scored, count(*) AS pairs, true AS probabilities "
         f"FROM (SELECT DISTINCT userid, feedid FROM train WHERE date_ = {LAST - 1})")
+    out["submission_roundtrip"] = _sql(
+        ["predictions"],
+        "SELECT userid, feedid, "
+        + ", ".join(f"cast(printf('%.6f', max(p_{a})) AS double) AS {_q(a)}" for a in ACT4)
+        + " FROM predictions GROUP BY userid, feedid")
     return out
