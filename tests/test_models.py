@@ -62,6 +62,38 @@ def test_factorisation_machine_on_hashed_ids(planted):
     assert quality(models.predict(model, mixed, "p")) > 0.7
 
 
+@pytest.mark.parametrize("kind", ["sparse", "dense"])
+def test_factorisation_machine_takes_the_library_s_steps(planted, kind):
+    """Coefficients equal those of the library's trainer, whose time grows with rows times ids."""
+    rows = planted if kind == "dense" else models.mixed_features(
+        planted.drop("features"), ["userid", "feedid"], ["x", "z"], buckets=256)
+    settings = dict(factorSize=3, maxIter=9, stepSize=0.1, regParam=0.01, seed=5)
+    mine = models.fit_fm(rows, "like", **settings)
+    theirs = models.FMClassifier(solver="adamW", labelCol="like", **settings).fit(rows)
+    assert mine.linear.toArray() == pytest.approx(theirs.linear.toArray(), abs=1e-12)
+    assert mine.factors.toArray().ravel() == pytest.approx(theirs.factors.toArray().ravel(), abs=1e-12)
+    assert mine.intercept == pytest.approx(theirs.intercept, abs=1e-12)
+    with pytest.raises(Exception, match="labels must be 0 or 1"):
+        models.fit_fm(rows.withColumn("like", F.lit(2)), "like", **settings)
+
+
+def test_factorisation_machine_costs_a_row_its_entries(spark):
+    """A million features of which each row has two: no vector as long as the model per row."""
+    import pyarrow as pa
+    import numpy as np
+    width, rows = 1_000_000, 4096
+    at = pa.array([[i, width - 1 - i] for i in range(rows)], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays(
+        [at, pa.array([[1.0, 2.0]] * rows), pa.array(np.arange(rows) % 2.0)], names=["at", "value", "label"])
+    places, sums = models._fm_sums(batch, 0.0, np.zeros(width), np.ones((width, 2)))
+    assert len(places) == len(sums) == 2 * rows * 3 + 3 == len(set(places.tolist()))
+    raw = 2 * (3.0 ** 2 - 5.0) / 2
+    pull = 1 / (1 + math.exp(-raw))
+    found = dict(zip(places.tolist(), sums.tolist()))
+    assert found[0] == pytest.approx(pull * (1 * 3 - 1)) and found[width * 2 + width - 1] == pytest.approx(2 * pull)
+    assert found[width * 3 + 2] == rows
+
+
 def test_fold_ensemble_scores_everything_once(planted):
     train = assign_folds(planted, 3, "event_id")
     score = planted.select("userid", "feedid", "features").dropDuplicates(["userid", "feedid"])
