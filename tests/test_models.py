@@ -51,6 +51,22 @@ def test_same_seed_same_predictions(planted):
     assert run() == run()
 
 
+def test_fits_get_even_parts_for_all_cores(planted, monkeypatch):
+    monkeypatch.setattr(models, "FEW_ROWS", 1000)
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 100)
+    cores = planted.sparkSession.sparkContext.defaultParallelism
+    uneven = planted.repartition(3, F.col("userid") > 10).select("userid", "like", "features")
+    with models.dealt(uneven) as rows:
+        parts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) % cores == 0 and max(parts) <= 110 and sum(parts) == 1200
+        assert rows.exceptAll(uneven).isEmpty() and uneven.exceptAll(rows).isEmpty()
+        model = models.fit_gbt_weighted(rows, "like", 5, **SMALL)
+    assert not rows.is_cached
+    assert quality(models.predict(model, planted, "p")) > 0.8
+    with models.dealt(uneven.limit(1000)) as rows:
+        assert not rows.is_cached
+
+
 def test_network_finds_the_signal(planted):
     model = models.fit_mlp(planted, "like", 2, (8,), maxIter=40)
     assert quality(models.predict(model, planted, "p")) > 0.8
