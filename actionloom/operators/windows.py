@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actionloom.session import input_bytes
 from actionloom.spec import FeatureSpec
 
 _MASK_BITS = 60
@@ -47,8 +48,24 @@ def _fan_out(rows: DataFrame, spec: FeatureSpec) -> DataFrame:
     return rows.select(*others, F.explode(F.sequence("_from", "_to")).alias(spec.day))
 
 
-def covered_targets(df: DataFrame, keys: Sequence[str], value: str, spec: FeatureSpec) -> DataFrame:
-    """(keys, target day) once for every distinct ``value`` seen in that day's window.
+#: Bytes of input files behind a partition that is fanned out; the fan-out takes some hundred times as much memory.
+_FILE_BYTES = 4 << 20
+
+
+def _at_keys(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``partials`` moved to their keys, to be fanned out there.
+
+    The partitions grow in number with the files that are read, not in size: the groups of the
+    fan-out lie in a task's memory, and shuffles of packed rows say little of them.
+    """
+    parts = input_bytes(partials) // _FILE_BYTES
+    if parts < 2:
+        return partials.repartition(*keys)
+    return partials.repartition(max(partials.sparkSession.sparkContext.defaultParallelism, parts), *keys)
+
+
+def covered_spans(df: DataFrame, keys: Sequence[str], value: str, spec: FeatureSpec) -> DataFrame:
+    """(keys, _from, _to): for every distinct ``value`` the runs of target days whose window has it.
 
     Rows with a null key are left out. The distinct (keys, value) rows are planned alike whichever
     of the columns is the value, so that one exchange of them serves both directions.
@@ -73,15 +90,21 @@ def covered_targets(df: DataFrame, keys: Sequence[str], value: str, spec: Featur
         f" - shiftleft(1L, greatest(_lo - _block * {_MASK_BITS}, 0))"
     )
     pairs = rows.groupBy(*both, "_block").agg(F.bit_or(mask).alias("_mask"))
-    bits = min(_MASK_BITS, spec.last_day - spec.first_target + 1)
-    return pairs.select(
-        *keys,
-        "_block",
-        F.explode(F.expr(f"filter(sequence(0, {bits - 1}), i -> getbit(_mask, i) = 1)")).alias("_bit"),
-    ).select(
-        *keys,
-        (first + F.col("_block") * _MASK_BITS + F.col("_bit")).cast("int").alias(spec.day),
-    )
+    begins, ends = "_mask & ~shiftleft(_mask, 1)", "_mask & ~shiftright(_mask, 1)"
+    bits = lambda mask: f"filter(sequence(0, {_MASK_BITS - 1}), i -> getbit({mask}, i) = 1)"
+    lowest = "cast(bit_count((_mask & -_mask) - 1L) AS int)"
+    # Nearly every mask is one run, which needs no list of its bits.
+    runs = (
+        f"CASE WHEN bit_count({begins}) = 1 THEN array(struct({lowest} AS _b, {lowest} + cast(bit_count(_mask) AS int) - 1 AS _e))"
+        f" ELSE zip_with({bits(begins)}, {bits(ends)}, (b, e) -> struct(b AS _b, e AS _e)) END")
+    day_of = lambda c: (first + F.col("_block") * _MASK_BITS + F.col(c)).cast("int")
+    return pairs.select(*keys, "_block", F.inline(F.expr(runs))).select(
+        *keys, day_of("_b").alias("_from"), day_of("_e").alias("_to"))
+
+
+def covered_targets(df: DataFrame, keys: Sequence[str], value: str, spec: FeatureSpec) -> DataFrame:
+    """(keys, target day) once for every distinct ``value`` seen in that day's window."""
+    return _fan_out(covered_spans(df, keys, value, spec), spec)
 
 
 def _day_partials(df: DataFrame, keys: Sequence[str], columns: Sequence[str], maxima: Sequence[str],
@@ -131,15 +154,11 @@ def entity_stats_of_partials(partials: DataFrame, pairs: DataFrame, entity: str,
     key, other = _sides(entity, spec)
     prefix, counts = _ENTITIES[entity]
     low, high = _target_range(spec)
-    sums = partials.filter(_feeds_a_target(spec)).withColumns({"_from": low, "_to": high})
-    distinct = (
-        covered_targets(pairs, [key], other, spec)
-        .groupBy(key, spec.day)
-        .agg(F.count(F.lit(1)).alias("_distinct"))
-        .withColumns({"_from": F.col(spec.day), "_to": F.col(spec.day)})
-    )
-    # Both are down to one row per key and day: stacked, moved to their key, fanned out.
-    both = sums.unionByName(distinct, allowMissingColumns=True).repartition(key)
+    sums = partials.filter(_feeds_a_target(spec)).withColumns({"_from": low, "_to": high}).drop(spec.day)
+    distinct = covered_spans(pairs, [key], other, spec).groupBy(key, "_from", "_to").agg(
+        F.count(F.lit(1)).alias("_distinct"))
+    # Both are down to one row per key and span of days: stacked, moved to their key, fanned out.
+    both = _at_keys(sums.unionByName(distinct, allowMissingColumns=True), [key])
     measures = [
         f"{_sum('_present')} AS {counts[0]}",
         f"coalesce(sum(_distinct), 0) AS {counts[1]}",
@@ -196,7 +215,7 @@ def approx_distinct_of_sketches(sketches: DataFrame, keys: Sequence[str], name:
     Distinct counts do not add up over days, but the days' sketches do: they are a bounded size
     and can be kept, so neither the log nor its distinct pairs are read for a new window.
     """
-    fanned = explode_target_days(sketches.repartition(*keys), spec)
+    fanned = explode_target_days(_at_keys(sketches, keys), spec)
     return fanned.groupBy(*keys, spec.day).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias(name))
 
 
@@ -238,7 +257,7 @@ def rolling_stats(df: DataFrame, keys: Sequence[str], spec: FeatureSpec) -> Data
 
 def rolling_stats_of_partials(partials: DataFrame, keys: Sequence[str], spec: FeatureSpec) -> DataFrame:
     """The same from ``rolling_day_partials``, of which only the days that feed a target are used."""
-    fanned = explode_target_days(partials.repartition(*keys), spec)
+    fanned = explode_target_days(_at_keys(partials, keys), spec)
     return fanned.groupBy(*keys, spec.day).agg(*map(F.expr, _rolling_measures(keys, spec)))
 
 

@@ -86,6 +86,13 @@ def stored_with(df: DataFrame, measures: Mapping[str, Column], *partitioned_by:
     return kept, Row(**seen.get)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of the files that ``df`` reads, a file once; 0 without files. Runs no job."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(f)) for f in df.inputFiles()]
+    return sum(path.getFileSystem(conf).getFileStatus(path).getLen() for path in paths)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files behind frames made by ``stored``; they can't be read afterwards."""
     for df in frames:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from actionloom.operators import windows
 from actionloom.operators.windows import covered_targets, explode_target_days
+from actionloom.session import input_bytes
 from actionloom.sources.bindings import EVENTS_SPEC, Tables
 from actionloom.spec import ACTIONS_ALL, FeatureSpec
 
@@ -63,6 +64,37 @@ def test_distinct_counts_over_a_long_horizon(spark):
     assert got == expected
 
 
+def test_a_value_travels_as_runs_of_target_days(spark):
+    """One row for a single visit, whatever the window width; runs end at a block of the bitmap."""
+    spec = FeatureSpec(last_day=200, n_day=7)
+    visits = {(1, 1): [3], (1, 2): [10, 14, 30], (2, 1): [57, 58], (2, 2): [199, 200], (3, 1): [61, 122, 123, 190]}
+    rows = [(u, f, d, 0) for (u, f), ds in visits.items() for d in ds]
+    spans = [tuple(r) for r in windows.covered_spans(log(spark, rows), ["userid", "feedid"], "like", spec).select(
+        "userid", "feedid", "_from", "_to").collect()]
+    covered = sorted((u, f, t) for u, f, low, high in spans for t in range(low, high + 1))
+    assert covered == sorted({(u, f, t) for u, f, d, _ in rows for t in range(d + 1, min(d + 7, 200) + 1)})
+    found = lambda u, f: sorted(x[2:] for x in spans if x[:2] == (u, f))
+    assert found(1, 1) == [(4, 10)] and found(1, 2) == [(11, 21), (31, 37)] and found(2, 2) == [(200, 200)]
+    assert found(2, 1) == [(58, 61), (62, 65)]  # the first block ends with day 61
+
+
+def test_partitions_of_the_fan_out_grow_with_the_files(spark, tmp_path, monkeypatch):
+    """Were they as many for any input, the groups in the memory of a task would grow with it."""
+    path = str(tmp_path / "log with space")
+    log(spark, [(i % 50, i % 7, i % 14 + 1, i % 2) for i in range(3000)]).withColumns({
+        "is_finish": F.lit(1), "play_times": F.lit(0.5)}).write.parquet(path)
+    kept = spark.read.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "log with space").glob("*.parquet"))
+    assert input_bytes(kept) == input_bytes(kept.join(kept.select("userid").distinct(), "userid")) == size
+    assert input_bytes(spark.range(3)) == 0
+    asked = [lambda: windows.rolling_stats(kept, ["userid"], SPEC), lambda: windows.user_window_stats(kept, SPEC)]
+    plainly = [sorted(f().collect()) for f in asked]
+    monkeypatch.setattr(windows, "_FILE_BYTES", size // 40)
+    for f, rows in zip(asked, plainly):
+        assert f().rdd.getNumPartitions() >= 40
+        assert sorted(f().collect()) == rows
+
+
 def test_missing_measures(spark):
     df = log(spark, [(1, 1, 1, 0)]).withColumn("play", F.lit(None).cast("double")).withColumn(
         "like", F.lit(None).cast("int"))
