@@ -251,6 +251,21 @@ def test_few_vectors_are_all_met(spark):
     assert sorted((r.query_id, r.vec_id) for r in found.collect()) == [(i, j) for i in range(4) for j in range(4) if i != j]
 
 
+def test_neighbours_meet_in_blocks_without_moving_vectors_by_table(spark):
+    """Blocks and parts give the search in one piece; nothing that holds a vector for each bucket is broadcast."""
+    draw = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in draw.normal(size=16)]) for i in range(400)]
+    rows += [(i + 1, v) for i, v in rows[:40]]  # repeated ids with other vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ask = lambda **params: cross_polytope.neighbours(df, F.col("vec_id") % 3 == 0, 5, settings=cross_polytope.Settings(**params))
+    whole, blocks = ask(part_vectors=1000), ask(part_vectors=50)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert not any("_v#" in line for line in plan.splitlines() if "BroadcastExchange" in line)
+    assert "explode(_cells" not in plan
+    seen = [sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in f.collect()) for f in (whole, blocks)]
+    assert seen[0] == seen[1] and len(seen[0]) > 500
+
+
 def test_hadamard_turns_without_stretching():
     x = np.random.default_rng(2).normal(size=(5, 16))
     y = cross_polytope.hadamard(x)
