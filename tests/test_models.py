@@ -93,6 +93,28 @@ def test_factorisation_machine_takes_the_library_s_steps(planted, kind):
         models.fit_fm(rows.withColumn("like", F.lit(2)), "like", **settings)
 
 
+def test_factorisation_machines_fitted_together_are_those_fitted_alone(planted):
+    """One set of passes serves all actions and folds; rows that a job leaves out do not count for it."""
+    rows = assign_folds(models.mixed_features(
+        planted.drop("features"), ["userid", "feedid"], ["x", "z"], buckets=256), 3, "event_id")
+    settings = dict(factorSize=3, maxIter=5, stepSize=0.1, seed=5)
+    jobs = [("like", None), ("forward", F.col("fold") != 1), ("like", F.col("fold") != 2)]
+    for (label, kept), model in zip(jobs, models.fit_fm_together(rows, jobs, **settings), strict=True):
+        alone = models.fit_fm(rows if kept is None else rows.filter(kept), label, **settings)
+        assert model.linear.toArray() == pytest.approx(alone.linear.toArray(), abs=1e-10)
+        assert model.factors.toArray().ravel() == pytest.approx(alone.factors.toArray().ravel(), abs=1e-10)
+        assert model.intercept == pytest.approx(alone.intercept, abs=1e-10)
+    asked = []
+
+    def fit(df, label):
+        raise AssertionError("actions are fitted together")
+
+    fit.together = lambda df, jobs: asked.append(len(jobs)) or models.fit_fm_together(df, jobs, **settings)
+    score = rows.select("userid", "feedid", "features").limit(5)
+    assert models.kfold_ensemble(rows, score, ["like", "forward"], 3, fit).columns == ["userid", "feedid", "like", "forward"]
+    assert asked == [6]
+
+
 def test_factorisation_machine_costs_a_row_its_entries(spark):
     """A million features of which each row has two: no vector as long as the model per row."""
     import pyarrow as pa
