@@ -7,6 +7,7 @@ from actionloom.operators import models
 from actionloom.operators.evaluate import uauc
 from actionloom.operators.sampling import assign_folds
 from actionloom.plans import training
+from actionloom.queries import catalog
 from actionloom.sources.bindings import EVENTS_SPEC, Tables
 from actionloom.spec import FeatureSpec
 
@@ -72,6 +73,57 @@ def test_network_finds_the_signal(planted):
     assert quality(models.predict(model, planted, "p")) > 0.8
 
 
+def test_small_fits_run_side_by_side_and_give_the_same(planted):
+    import threading
+    together = threading.Barrier(2, timeout=60)
+    fit = lambda df, label: together.wait() is not None and models.fit_gbt(df, label, 3, **SMALL)
+    found = models.fitted(planted, [("like", None), ("forward", None)], fit)
+    for label, model in zip(("like", "forward"), found, strict=True):
+        assert model.toDebugString.split("\n")[1:] == models.fit_gbt(planted, label, 3, **SMALL).toDebugString.split("\n")[1:]
+
+
+def test_network_takes_the_library_s_steps(planted):
+    """Weights equal those of the library's trainer; networks fitted together are those fitted alone."""
+    rows = planted.limit(1000).coalesce(1).cache()
+    for iterations, close in ((3, 1e-7), (12, 1e-3)):
+        mine = models.fit_mlp(rows, "like", 2, (6, 5), maxIter=iterations)
+        theirs = models.MultilayerPerceptronClassifier(
+            labelCol="like", layers=[2, 6, 5, 2], maxIter=iterations, blockSize=1024, seed=models.SAMPLE_SEED).fit(rows)
+        assert mine.weights.toArray() == pytest.approx(theirs.weights.toArray(), abs=close)
+    jobs = [("like", None), ("forward", F.col("event_id") % 3 != 0)]
+    for (label, kept), model in zip(jobs, models.network(2, (6,), maxIter=4).together(rows, jobs), strict=True):
+        alone = models.fit_mlp(rows if kept is None else rows.filter(kept), label, 2, (6,), maxIter=4)
+        assert model.weights.toArray() == pytest.approx(alone.weights.toArray(), abs=1e-8)
+    rows.unpersist()
+
+
+def test_training_queries_take_the_whole_job(spark, monkeypatch):
+    """The registered queries pass no settings that shorten the operators' own."""
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def note(name):
+        def noted(*args, **params):
+            seen[name] = args, params
+            raise Stop
+        return noted
+
+    monkeypatch.setattr(catalog.training, "train_rolling_gbt", note("gbt_early_stop_refit"))
+    monkeypatch.setattr(catalog.training, "train_staged_gbt", note("gbt_weighted"))
+    monkeypatch.setattr(catalog.training, "rolling_feature_table", lambda *args: None)
+    monkeypatch.setattr(catalog, "_mixed", lambda t: (None, None))
+    monkeypatch.setattr(catalog, "_dense_table", lambda t: (None, None, ["x"] * 7))
+    monkeypatch.setattr(catalog.models, "network", note("fm_mlp_blend"))
+    for name in ("gbt_early_stop_refit", "gbt_weighted", "fm_mlp_blend"):
+        with pytest.raises(Stop):
+            catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen["gbt_early_stop_refit"][1] == {"extra_excluded": ["event_id"]}
+    assert seen["gbt_weighted"][0][4:] == ("online",) and not seen["gbt_weighted"][1]
+    assert seen["fm_mlp_blend"] == ((7,), {})
+
+
 def test_factorisation_machine_on_hashed_ids(planted):
     mixed = models.mixed_features(planted.drop("features"), ["userid", "feedid"], ["x", "z"], buckets=256)
     model = models.fit_fm(mixed, "like", maxIter=60, stepSize=0.1)
