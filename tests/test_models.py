@@ -73,6 +73,15 @@ def test_network_finds_the_signal(planted):
     assert quality(models.predict(model, planted, "p")) > 0.8
 
 
+def test_rolling_table_attaches_the_few_columns_first(spark):
+    """Each join moves the rows with all they have by then; the statistics themselves are read from the stored rows."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    table = training.rolling_feature_table(t.interactions().filter("date_ < 30"), t.scoring(), t.items(), EVENTS_SPEC)
+    joins = [line for line in table._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert "date_" in joins[0] and len(joins) == 10  # eight of the rows, two within the pair counts
+    assert table.columns[-1] == "authorid_in_userid_count_prop"
+
+
 def test_small_fits_run_side_by_side_and_give_the_same(planted):
     import threading
     together = threading.Barrier(2, timeout=60)
